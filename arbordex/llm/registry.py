@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ["exact_dedup", "mixing", "secrets", "warc", "knn", "toxicity", "quality", "packing", "jaccard"]
+_MODULES = ["exact_dedup", "mixing", "secrets", "warc", "knn", "toxicity", "quality", "packing", "jaccard", "substrings"]
 
 
 def queries() -> dict:
