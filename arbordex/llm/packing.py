@@ -11,30 +11,26 @@ Pieces find their slot by their rank among pieces of their length. Ranks are cou
 the counts of the salts before, so a length that a third of all pieces share is ranked in many tasks. Tokenising happens once: pieces
 with their ids are written to the shared folder, and only (id, piece, length) rows are shuffled after that.
 
-Ids come from the tokenizer itself, once per distinct word of a batch: this tokenizer drops white space and never
-merges across it, so a text's ids are its words' ids one after the other (a test holds both ways against each other).
+Ids are the tokenizer's own, of each distinct pre-token once (see _tokens).
 """
 
 from __future__ import annotations
 
-import os
 import zlib
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from arbordex.llm import _hashing as H
 from arbordex.llm._common import if_small, partitions, table, written
+from arbordex.llm._tokens import Encoder
 
 CAPACITY = 2048
 END_ID = 0
-_CACHE_WORDS = 400_000
 
 
 @dataclass(frozen=True)
@@ -143,67 +139,18 @@ def _best_pair(open_: list[int], left: dict[int, int], j: int, room: int) -> int
 # --- tokens ------------------------------------------------------------------------------------------------------
 
 
-class Words:
-    """Token ids of whole columns through a cache of words (cleared when it is full)."""
-
-    def __init__(self, tokenizer_json: str) -> None:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_str(tokenizer_json)
-        self.clear()
-
-    def clear(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.ids: list[np.ndarray] = []
-
-    def _numbers(self, words: list[bytes]) -> list[int]:
-        if len(self.known) > _CACHE_WORDS:
-            self.clear()
-        known = self.known
-        fresh = [w for w in words if w not in known]
-        for at in range(0, len(fresh), 50_000):
-            part = fresh[at : at + 50_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False), strict=True):
-                known[w] = len(self.ids)
-                self.ids.append(np.array(e.ids, dtype=np.uint32))
-        return [known[w] for w in words]
-
-    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, offsets by document), END_ID after each document's ids; nulls count as empty."""
-        raw, offsets = H.text_bytes(column)
-        start, end, first = H.words(raw, offsets)
-        docs = len(offsets) - 1
-        if not len(start):
-            return np.full(docs, END_ID, np.uint32), np.arange(docs + 1)
-        # A word with the white space after it: contiguous, so that Arrow can take the bytes as they are.
-        edges = np.append(start, len(raw)).astype(np.int64)
-        coded = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(edges), pa.py_buffer(raw)]).dictionary_encode()
-        numbers = self._numbers([w.strip(b" \t\n\r\x0b\x0c") for w in coded.dictionary.to_pylist()])
-        unique = [self.ids[i] for i in numbers]
-        sizes = np.array([len(u) for u in unique], dtype=np.int64)
-        flat, at = np.concatenate(unique), np.concatenate(([0], np.cumsum(sizes)))[:-1]
-        word = coded.indices.to_numpy(zero_copy_only=False)
-        n = sizes[word]
-        before = np.concatenate(([0], np.cumsum(n)))
-        ids = flat[np.repeat(at[word] - before[:-1], n) + np.arange(before[-1])]
-        per_doc = np.diff(before[first])
-        out = np.full(len(ids) + docs, END_ID, dtype=np.uint32)
-        out[np.arange(len(ids)) + np.repeat(np.arange(docs), per_doc)] = ids
-        return out, np.concatenate(([0], np.cumsum(per_doc + 1)))
-
-
-_WORKER: dict[int, Words] = {}
+_WORKER: dict[int, Encoder] = {}
 
 
 def _pieces(tokenizer_json: str, capacity: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     mark = zlib.crc32(tokenizer_json.encode())
-    words = _WORKER.setdefault(mark, None) or Words(tokenizer_json)
-    _WORKER[mark] = words  # the worker's next task starts with this cache
+    if mark not in _WORKER:
+        _WORKER[mark] = Encoder(tokenizer_json)  # the worker's next task starts with this cache
+    encoder = _WORKER[mark]
     for whole in batches:
         for at in range(0, whole.num_rows, 2000):
             b = whole.slice(at, 2000)
-            ids, offsets = words.encode(b["__text"])
+            ids, offsets = encoder.encode(b["__text"], END_ID)
             data = memoryview(ids.astype("<u4").tobytes())
             row, piece, start, length, crc, cut = [], [], [], [], [], []
             for d, (i, j) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
