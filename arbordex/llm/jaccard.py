@@ -9,8 +9,8 @@ Candidates: shingles are dealt to more than dmax blocks by hash, and each block
 hashes. d shingles touch at most dmax blocks, so one block at least agrees (pigeonhole). As long as more than dmax
 blocks of either set have shingles, one that has some agrees; a set with too many empty blocks goes on to further
 seeds, which its partner does as well if it has the same trouble, and last to keys of empty blocks. A node gives its keys for
-its own band and for the next. Sharing a key joins nodes to candidate groups (connected components of key holder and
-node stars: no pairs).
+its own band and for the next. Sharing a key joins nodes to candidate groups (connected components of stars
+around each key's first holder: no pairs).
 
 Verification: each candidate group is cut into blocks of bounded size, and each pair of blocks is one task's work. There,
 parity sketches (16 bits a block; the XOR of one bit per shingle) bound the symmetric difference from below by their
@@ -32,7 +32,7 @@ from arbordex.llm._common import if_small, partitions, table, written
 from arbordex.llm._graph import components
 
 U64 = np.uint64
-BLOCK_NODES = 512
+BLOCK_NODES = 256
 _SEEDS = 6
 _BITS = 16  # of the parity sketch, for each block
 
@@ -230,8 +230,14 @@ def jaccard_groups(docs: DataFrame, *, width: int = 5, num: int = 80, den: int =
     classes = written(first.groupBy("sig").agg(F.min("node").alias("node"), F.sum("weight").alias("weight"), F.min("least").alias("least")), "classes")
     # Candidates.
     held = some.select(F.col("__row").alias("node"), "keys").join(classes.select("node"), "node", "left_semi").select("node", F.explode("keys").alias("key"))
-    shared = held.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("__max")).filter("a < __max").select("key", "a")
-    stars = held.join(shared, "key").filter("node > a").select("a", F.col("node").alias("b")).distinct()
+    shared = held.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z"), F.count(F.lit(1)).alias("c")).filter("a < z")
+    shared = written(shared, "shared-keys")
+    more = if_small(shared.filter("c > 2").select("key", "a"))  # of the rest, both holders are known already
+    stars = shared.select("a", F.col("z").alias("node")).union(held.join(more, "key").select("a", "node").filter("a < node"))
+    # A node's keys have many first holders in a large group: link it with the least, and the others with that.
+    least = stars.groupBy("node").agg(F.min("a").alias("b"), F.collect_set("a").alias("firsts"))  # as many as it has keys at most
+    least = written(least, "stars")
+    stars = least.select("b", F.col("node").alias("a")).union(least.select("b", F.explode("firsts").alias("a"))).filter("a <> b").distinct()
     groups = components(stars).withColumnRenamed("label", "grp")
     # Verification.
     members = written(groups.join(classes, "node").join(some.select(F.col("__row").alias("node"), "__id", "__h"), "node"), "candidates")
