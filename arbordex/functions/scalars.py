@@ -42,7 +42,7 @@ def human_size(size: Column) -> Column:
         value = F.when(big, size.cast("double") / float(1 << 10 * k)).otherwise(value)
         unit = F.when(big, F.lit(name)).otherwise(unit)
     whole = (value >= 10) | (value - F.floor(value) < 0.05)
-    return F.when(size == 0, "0 B").otherwise(F.concat(F.when(whole, F.bround(value, 0).cast("long").cast("string")).otherwise(F.format_string("%.1f", value)), F.lit(" "), unit))
+    return F.when(size == 0, "0 B").otherwise(F.concat(F.when(whole, F.bround(value, 0).cast("long").cast("string")).otherwise(F.format_string("%.1f", F.bround(value, 1))), F.lit(" "), unit))
 
 
 def display_size(size: Column, is_dir: Column, size_exact: Column) -> Column:

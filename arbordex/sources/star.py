@@ -65,21 +65,28 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A change log of V: signups create files under customers, purchases create files under the last signup's file's
-    customer, clicks rename orders, errors delete orders, views modify."""
+    """A change log of V: from events, in order of event_id.
+
+    Signups create directories under customers; purchases create files in the directory of an earlier signup, or under a
+    customer if the event that they point at is none; clicks rename and errors delete orders and earlier additions (some
+    of them unknown ids); views modify. A few names repeat, so that some renames change nothing.
+    """
     e = _t(spark, sf_dir, "events")
-    n = _t(spark, sf_dir, "orders").agg(F.max("o_orderkey")).first()[0]
-    m = _t(spark, sf_dir, "customer").agg(F.max("c_custkey")).first()[0]
-    low = _t(spark, sf_dir, "customer").agg(F.min("c_custkey")).first()[0]
+    keys = _t(spark, sf_dir, "customer").agg(F.min("c_custkey"), F.count(F.lit(1))).first()  # two numbers
     c = F.col
     op = F.create_map(*[F.lit(x) for kv in {"signup": "created", "purchase": "created", "click": "renamed", "error": "deleted", "view": "modified"}.items() for x in kv])[c("event_type")]
-    order = 1_000_000_000 + c("event_id") % (n + 1)
-    customer = 1_000_000 + low + c("user_id") % (m - low + 1)
+    signups = e.filter("event_type = 'signup'").select(c("event_id").alias("__s"))
+    e = e.withColumn("__s", c("event_id") - 1 - c("event_id") % 7)
+    e = e.join(signups.withColumn("__is", F.lit(True)), "__s", "left")
+    customer = 1_000_000 + keys[0] + c("user_id") % keys[1]
+    order = 1_000_000_000 + c("event_id") % 997
+    earlier = lambda a, b: 2_000_000_000 + c("event_id") - a - c("event_id") % b
+    frn = F.when(op == "created", 2_000_000_000 + c("event_id")).when((op == "renamed") & (c("event_id") % 3 == 0), earlier(2, 11)).when((op == "deleted") & (c("event_id") % 3 == 1), earlier(3, 13)).otherwise(order)
+    parent = F.when((c("event_type") == "purchase") & c("__is"), 2_000_000_000 + c("__s")).when(op == "renamed", 1_000_000 + keys[0] + c("event_id") % 2).otherwise(customer)
+    created = F.concat(F.lit("New_"), c("event_id").cast("string"), F.when(c("event_type") == "signup", "").otherwise(".tmp"))
+    moved = F.concat(F.lit("Moved_"), (c("event_id") % 2).cast("string"), F.lit(".dat"))
     return e.select(
-        F.lit("V:").alias("volume"), c("event_id").cast("long").alias("usn"), op.alias("op"),
-        F.when(op == "created", 2_000_000_000 + c("event_id")).otherwise(order).cast("long").alias("frn"),
-        F.when(op.isin("created", "renamed"), customer).cast("long").alias("parent_frn"),
-        F.when(op == "created", F.concat(F.lit("New_"), c("event_id").cast("string"), F.when(c("event_type") == "signup", "").otherwise(".tmp"))).when(op == "renamed", F.concat(F.lit("Moved_"), (c("event_id") % 7).cast("string"), F.lit(".dat"))).alias("name"),
-        F.when(op == "created", c("event_type") == "signup").alias("is_dir"),
-        F.lit(False).alias("is_auxiliary"), (c("event_id") + 1).cast("long").alias("next_usn"),
+        F.lit("V:").alias("volume"), c("event_id").cast("long").alias("usn"), op.alias("op"), frn.cast("long").alias("frn"),
+        F.when(op.isin("created", "renamed"), parent).cast("long").alias("parent_frn"), F.when(op == "created", created).when(op == "renamed", moved).alias("name"),
+        F.when(op == "created", c("event_type") == "signup").alias("is_dir"), F.lit(False).alias("is_auxiliary"), (c("event_id") + 1).cast("long").alias("next_usn"),
     )
