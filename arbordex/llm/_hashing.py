@@ -5,6 +5,8 @@ Everything here works on one Arrow batch at a time: memory is a small multiple o
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 
@@ -64,6 +66,17 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, offsets - offsets[0]
 
 
+def slices(batch: pa.RecordBatch, column: str, rows: int = 2000, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of at most `rows` rows and about `size` bytes of text (a longer text is a part of its own)."""
+    _, offsets = text_bytes(batch[column])
+    at = 0
+    while at < batch.num_rows:
+        to = int(np.searchsorted(offsets, offsets[at] + size, side="right")) - 1
+        to = min(max(to, at + 1), at + rows, batch.num_rows)
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def prefix_hash(raw: np.ndarray) -> np.ndarray:
     """H with H[j] - H[i] = sum of lut[raw[k]] * p^k over i <= k < j (mod 2^64)."""
     up, _ = POWERS.get(len(raw) + 1)

@@ -9,10 +9,11 @@ Candidates: shingles are dealt to more than dmax blocks by hash, and each block
 hashes. d shingles touch at most dmax blocks, so one block at least agrees (pigeonhole). As long as more than dmax
 blocks of either set have shingles, one that has some agrees; a set with too many empty blocks goes on to further
 seeds, which its partner does as well if it has the same trouble, and last to keys of empty blocks. A node gives its keys for
-its own band and for the next. Sharing a key joins nodes to candidate groups (connected components of stars
-around each key's first holder: no pairs).
+its own band and for the next, packed by ranges of keys, with those that meet within a task merged before the shuffle.
+Sharing a key joins nodes to candidate groups (connected components of stars around each key's least holder: no pairs).
 
-Verification: each candidate group is cut into blocks of bounded size, and each pair of blocks is one task's work. There,
+Verification: each candidate group is cut into blocks of bounded size, and each pair of blocks is one task's work. Texts
+travel compressed (smaller than their sets). There,
 parity sketches (16 bits a block; the XOR of one bit per shingle) bound the symmetric difference from below by their
 Hamming distance and rule out nearly all other pairs; the rest is compared shingle by shingle. A task returns the
 links of a spanning forest and each node's number of links, not all pairs, so results stay linear in a group.
@@ -24,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,7 +34,11 @@ from arbordex.llm._common import if_small, partitions, table, written
 from arbordex.llm._graph import components
 
 U64 = np.uint64
-BLOCK_NODES = 256
+#: A block of a candidate group holds about this many sets, and shingle hashes, at most.
+BLOCK_NODES = 1024
+BLOCK_SHINGLES = 1 << 19
+#: Keys that a task holds before they are merged and handed on.
+FLUSH_KEYS = 1 << 20
 _SEEDS = 6
 _BITS = 16  # of the parity sketch, for each block
 
@@ -72,28 +78,37 @@ def _blocks(x: np.ndarray, n: int) -> np.ndarray:
     return ((x >> U64(32)) * U64(n)) >> U64(32)
 
 
-def keys(x: np.ndarray, bands: Bands) -> list[int]:
-    """Key hashes (as signed 64-bit integers) of a set of shingle hashes, for its band and the next."""
+def keys(x: np.ndarray, bands: Bands) -> np.ndarray:
+    """Key hashes of a set of shingle hashes, for its band and the next.
+
+    In a scheme, a set emits its first need + 1 blocks that have shingles, where need is the most that it can differ from
+    a partner there by. At most `need` of them disagree with the partner's, so one agrees; the set of the two whose blocks
+    reach less far tells which, and the other one emits it too.
+    """
     out = []
-    band = bands.of(len(x))
+    size = len(x)
+    band = bands.of(size)
+    widest = size * bands.den // bands.num
     for scheme in (band, band + 1):
-        d = bands.dmax(scheme)
-        if not d:
-            continue  # only equal sets could be linked
+        bands.dmax(scheme)
+        if widest < bands.low[scheme] or not bands.dmax(scheme):
+            continue  # no partner in that band, or equal sets only
+        need = bands.most(size + min(widest, bands.low[scheme + 1] - 1))
         n = bands.blocks(scheme)
+        salt = U64((scheme << 8) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
         for seed in range(_SEEDS):
             y = x if not seed else np.sort(H.mix(x + U64(seed)))
             block = _blocks(y, n)
             cut = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1])))
-            value = np.bitwise_xor.reduceat(H.mix(y ^ U64(0x5851F42D4C957F2D)), cut)
-            salt = U64((scheme << 8 | seed) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
-            out.append(H.mix(value + H.mix(block[cut] + salt)))
-            if len(cut) > d:
+            some = cut[: need + 1]
+            value = np.bitwise_xor.reduceat(H.mix(y ^ U64(0x5851F42D4C957F2D)), cut)[: need + 1]
+            out.append(H.mix(value + H.mix(block[some] + salt + U64(seed << 40))))
+            if len(cut) > need:
                 break
         else:
             empty = np.setdiff1d(np.arange(n, dtype=np.uint64), block[cut])
-            out.append(H.mix(H.mix(empty + salt) ^ U64(0xE7037ED1A0B428DB)))
-    return np.concatenate(out).view(np.int64).tolist() if out else []
+            out.append(H.mix(H.mix(empty + salt + U64(_SEEDS << 40)) ^ U64(0xE7037ED1A0B428DB)))
+    return np.concatenate(out) if out else np.zeros(0, U64)
 
 
 def sketch(x: np.ndarray, blocks: int) -> np.ndarray:
@@ -107,26 +122,115 @@ def _signature(x: np.ndarray) -> bytes:
     return int(np.bitwise_xor.reduce(H.mix(x))).to_bytes(8, "little") + int(H.mix(x + U64(77)).sum(dtype=np.uint64)).to_bytes(8, "little")
 
 
-def _profile(width: int, num: int, den: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    bands = Bands(num, den)
+def _class(signature: bytes) -> int:
+    """A class's number among candidates. Classes that share one are candidates together, and told apart when verified."""
+    return int.from_bytes(signature[:8], "little", signed=True)
+
+
+def _profile(width: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
-        for at in range(0, whole.num_rows, 2000):
-            b = whole.slice(at, 2000)
+        for b in H.slices(whole, "__text"):
             hashes, offsets = H.shingles(b["__text"], width)
-            sets = [hashes[i:j] for i, j in zip(offsets[:-1], offsets[1:], strict=True)]
+            sigs = [_signature(hashes[i:j]) if j > i else None for i, j in zip(offsets[:-1], offsets[1:], strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [b["__id"], b["__h"], pa.array(np.diff(offsets)), pa.array([_signature(x) if len(x) else None for x in sets], pa.binary()), pa.array([keys(x, bands) if len(x) else [] for x in sets], pa.list_(pa.int64()))],
-                ["__id", "__h", "n", "sig", "keys"],
+                [b["__id"], b["__h"], pa.array(np.diff(offsets)), pa.array(sigs, pa.binary()), pa.array([None if x is None else _class(x) for x in sigs], pa.int64())], ["__id", "__h", "n", "sig", "class"]
             )
 
 
-def _sets(width: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _firsts(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys in order and each one's least node; and edges (least node, other) for the others, once each."""
+    order = np.lexsort((node, key))
+    key, node = key[order], node[order]
+    new = np.ones(len(key), dtype=bool)
+    new[1:] = key[1:] != key[:-1]
+    least = node[new][np.cumsum(new) - 1]
+    edges = np.stack((least, node), axis=1)[least != node]
+    return key[new], node[new], np.unique(edges, axis=0) if len(edges) else edges
+
+
+def _keyed(width: int, num: int, den: int, bits: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Keys of texts as (bucket, blob) with 14 bytes a key (the rest of the key, node), and edges as (-1, blob).
+
+    Holders of one key meet here already as far as a flush holds them, so a key that a third of all texts have goes on
+    once a flush.
+    """
+    bands = Bands(num, den)
+    held: list[tuple[np.ndarray, int]] = []
+    seen: set[int] = set()
+    total = 0
+
+    def flush() -> pa.RecordBatch:
+        key = np.concatenate([k for k, _ in held])
+        node = np.repeat(np.array([n for _, n in held], np.int64), [len(k) for k, _ in held])
+        key, node, edges = _firsts(key, node)
+        data = np.empty((len(key), 14), np.uint8)
+        data[:, :6] = key.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
+        data[:, 6:] = node.astype("<i8").view(np.uint8).reshape(-1, 8)
+        bucket = (key >> U64(64 - bits)).astype(np.int32)
+        cut = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
+        whole = data.tobytes()
+        blobs = [whole[14 * i : 14 * j] for i, j in zip(cut, [*cut[1:], len(key)], strict=True)]
+        numbers = bucket[cut].tolist()
+        if len(edges):
+            blobs.append(edges.astype("<i8").tobytes())
+            numbers.append(-1 - int(edges[0, 1] % (1 << bits)))
+        return pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
+
     for whole in batches:
-        for at in range(0, whole.num_rows, 1000):
-            b = whole.slice(at, 1000)
+        for b in H.slices(whole, "__text"):
             hashes, offsets = H.shingles(b["__text"], width)
-            sets = [hashes[i:j] for i, j in zip(offsets[:-1], offsets[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([_signature(x) if len(x) else None for x in sets], pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())], ["sig", "shingles"])
+            for i, j in zip(offsets[:-1], offsets[1:], strict=True):
+                if j > i:
+                    node = _class(_signature(hashes[i:j]))
+                    if node not in seen and len(k := keys(hashes[i:j], bands)):
+                        seen.add(node)
+                        held.append((k, node))
+                        total += len(k)
+            if total > FLUSH_KEYS:
+                yield flush()
+                held, seen, total = [], set(), 0
+    if held:
+        yield flush()
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blobs sorted by bucket to edges (a, b)."""
+    blobs: list[bytes] = []
+    at = None
+
+    def rows(edges: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for i in range(0, len(edges), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(edges[i : i + 100_000, c]) for c in (0, 1)], ["a", "b"])
+
+    def out() -> Iterator[pa.RecordBatch]:
+        data = np.frombuffer(b"".join(blobs), np.uint8).reshape(-1, 14)
+        key = np.zeros((len(data), 8), np.uint8)
+        key[:, :6] = data[:, :6]
+        yield from rows(_firsts(key.view("<u8").ravel(), np.ascontiguousarray(data[:, 6:]).view("<i8").ravel())[2])
+
+    for batch in batches:
+        for bucket, blob in zip(batch["bucket"].to_pylist(), batch["blob"].to_pylist(), strict=True):
+            if bucket < 0:
+                yield from rows(np.frombuffer(blob, "<i8").reshape(-1, 2))
+                continue
+            if bucket != at and blobs:
+                yield from out()
+                blobs = []
+            at = bucket
+            blobs.append(blob)
+    if blobs:
+        yield from out()
+
+
+def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts with their block of a candidate group: one row, with the compressed text, per pair of blocks."""
+    packer = zstandard.ZstdCompressor(level=3)
+    for b in batches:
+        for r in b.to_pylist():
+            mine, n = r["block"], r["blocks"]
+            data = packer.compress(r["__text"].encode())
+            columns = [[r["grp"]] * n, [min(mine, o) for o in range(n)], [max(mine, o) for o in range(n)], [mine] * n, [r["node"]] * n, [r["weight"]] * n]
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns), pa.array([data] * n, pa.binary())], ["grp", "bi", "bj", "block", "node", "weight", "packed"])
 
 
 class _Forest:
@@ -181,15 +285,17 @@ def verify(nodes: list[int], side: list[int], sets: list[np.ndarray], weights: l
     return links, count
 
 
-def _verified(num: int, den: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _verified(width: int, num: int, den: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (grp, bi, bj) to links (a, b) and counts (a, null, n)."""
     held: list[dict] = []
+    seen: set[int] = set()
     mark = None
+    unpacker = zstandard.ZstdDecompressor()
 
     def out() -> pa.RecordBatch | None:
         if len(held) < 2:
             return None
-        sets = [np.frombuffer(r["shingles"], np.uint64) for r in held]
+        sets = [r["set"] for r in held]
         links, count = verify([r["node"] for r in held], [r["block"] for r in held], sets, [r["weight"] for r in held], mark[1] != mark[2], num, den)
         rows = [(a, b, None) for a, b in links] + [(a, None, n) for a, n in count.items()]
         if not rows:
@@ -203,8 +309,11 @@ def _verified(num: int, den: int, batches: Iterator[pa.RecordBatch]) -> Iterator
             if at != mark:
                 if (found := out()) is not None:
                     yield found
-                held, mark = [], at
-            held.append(r)
+                held, seen, mark = [], set(), at
+            if r["node"] not in seen:  # rows that repeat an id and its text are one node
+                seen.add(r["node"])
+                r["set"] = H.shingles(pa.array([unpacker.decompress(r.pop("packed"))], pa.binary()), width)[0]
+                held.append(r)
     if (found := out()) is not None:
         yield found
 
@@ -221,44 +330,35 @@ def jaccard_groups(docs: DataFrame, *, width: int = 5, num: int = 80, den: int =
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(docs[id_col].alias("__id"), F.xxhash64(docs[text_col]).alias("__h"), docs[text_col].alias("__text"))
-    profile = rows.mapInArrow(lambda it: _profile(width, num, den, it), f"__id {kind}, __h long, n long, sig binary, keys array<bigint>")
+    profile = rows.mapInArrow(lambda it: _profile(width, it), f"__id {kind}, __h long, n long, sig binary, class long")
     profile = written(profile.withColumn("__row", F.monotonically_increasing_id()), "profiles")  # fixed once it is written
     some = profile.filter("n > 0")
     runs = max(64, partitions(spark))
     run = F.pmod(F.xxhash64("__row"), F.lit(runs)).cast("int").alias("__run")
-    first = some.groupBy(run, "sig").agg(F.min("__row").alias("node"), F.count(F.lit(1)).alias("weight"), F.min("__id").alias("least"))
-    classes = written(first.groupBy("sig").agg(F.min("node").alias("node"), F.sum("weight").alias("weight"), F.min("least").alias("least")), "classes")
+    first = some.groupBy(run, "sig").agg(F.min(F.struct("__row", "__id", "__h", "n", "class")).alias("rep"), F.count(F.lit(1)).alias("weight"), F.min("__id").alias("least"))
+    classes = first.groupBy("sig").agg(F.min("rep").alias("rep"), F.sum("weight").alias("weight"), F.min("least").alias("least"))
+    classes = written(classes.select("sig", F.col("rep.__row").alias("node"), F.col("rep.__id").alias("__id"), F.col("rep.__h").alias("__h"), F.col("rep.n").alias("n"), F.col("rep.class").alias("class"), "weight", "least"), "classes")
     # Candidates.
-    held = some.select(F.col("__row").alias("node"), "keys").join(classes.select("node"), "node", "left_semi").select("node", F.explode("keys").alias("key"))
-    shared = held.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z"), F.count(F.lit(1)).alias("c")).filter("a < z")
-    shared = written(shared, "shared-keys")
-    more = if_small(shared.filter("c > 2").select("key", "a"))  # of the rest, both holders are known already
-    stars = shared.select("a", F.col("z").alias("node")).union(held.join(more, "key").select("a", "node").filter("a < node"))
-    # A node's keys have many first holders in a large group: link it with the least, and the others with that.
-    least = stars.groupBy("node").agg(F.min("a").alias("b"), F.collect_set("a").alias("firsts"))  # as many as it has keys at most
-    least = written(least, "stars")
-    stars = least.select("b", F.col("node").alias("a")).union(least.select("b", F.explode("firsts").alias("a"))).filter("a <> b").distinct()
-    groups = components(stars).withColumnRenamed("label", "grp")
+    bits = max(10, (16 * partitions(spark)).bit_length())
+    blobs = rows.select("__text").mapInArrow(lambda it: _keyed(width, num, den, bits, it), "bucket int, blob binary")
+    stars = blobs.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket").mapInArrow(_met, "a long, b long")
+    groups = components(stars).withColumnRenamed("node", "class").withColumnRenamed("label", "grp")
     # Verification.
-    members = written(groups.join(classes, "node").join(some.select(F.col("__row").alias("node"), "__id", "__h"), "node"), "candidates")
-    found = docs.select(docs[id_col].alias("__id"), F.xxhash64(docs[text_col]).alias("__h"), docs[text_col].alias("__text"))
-    who = if_small(members.select(F.col("__id").alias("__m"), F.col("__h").alias("__mh")).distinct())
-    found = found.join(who, found["__id"].eqNullSafe(who["__m"]) & (found["__h"] == who["__mh"]), "left_semi")
-    sets = found.select("__text").mapInArrow(lambda it: _sets(width, it), "sig binary, shingles binary").dropDuplicates(["sig"])
-    blocks = members.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / BLOCK_NODES).cast("int").alias("blocks"))
-    placed = members.select("grp", "node", "weight", "sig").join(blocks, "grp").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).join(sets, "sig")
-    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "grp", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "block", "node", "weight", "shingles"
-    )
+    members = written(classes.join(groups, "class").select("grp", "node", "weight", "__id", "__h", "n"), "candidates")
+    sizes = members.groupBy("grp").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_NODES), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    where = members.join(sizes, "grp").select(F.col("__id").alias("__m"), F.col("__h").alias("__mh"), "grp", "node", "weight", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
+    where = if_small(where)
+    placed = rows.join(where, rows["__id"].eqNullSafe(where["__m"]) & (rows["__h"] == where["__mh"])).select("__text", "grp", "node", "weight", "blocks", "block")
+    placed = placed.mapInArrow(_placed, "grp long, bi long, bj long, block long, node long, weight long, packed binary")
     placed = placed.repartition(partitions(spark), "grp", "bi", "bj").sortWithinPartitions("grp", "bi", "bj")
-    checked = written(placed.mapInArrow(lambda it: _verified(num, den, it), "a long, b long, n long"), "links")
+    checked = written(placed.mapInArrow(lambda it: _verified(width, num, den, it), "a long, b long, n long"), "links")
     # Components of verified links, and back to the rows.
     labels = components(checked.filter("b is not null").select("a", "b"))
     n_links = checked.filter("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n_links"))
     linked = labels.join(classes.select("node", "least"), "node")
     ids = linked.groupBy("label").agg(F.min("least").alias("component_id"))
     by_node = linked.join(ids, "label").join(n_links, "node", "left").select("node", "component_id", "n_links")
-    by_class = classes.join(by_node, "node", "left").select(
+    by_class = classes.select("sig", "node", "least", "weight").join(by_node, "node", "left").select(
         "sig", F.when(F.col("component_id").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"), (F.coalesce("n_links", F.lit(0)) + F.col("weight") - 1).alias("n_links")
     )
     by_run = first.select("__run", "sig").join(by_class, "sig")  # a class of a third of all rows is spread over its runs
