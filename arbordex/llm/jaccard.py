@@ -342,7 +342,10 @@ def jaccard_groups(docs: DataFrame, *, width: int = 5, num: int = 80, den: int =
     bits = max(10, (16 * partitions(spark)).bit_length())
     blobs = rows.select("__text").mapInArrow(lambda it: _keyed(width, num, den, bits, it), "bucket int, blob binary")
     stars = blobs.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket").mapInArrow(_met, "a long, b long")
-    groups = components(stars).withColumnRenamed("node", "class").withColumnRenamed("label", "grp")
+    # A node's keys have many first holders in a large group: link it with the least, and the others with that.
+    least = written(stars.groupBy("b").agg(F.min("a").alias("least"), F.collect_set("a").alias("firsts")), "stars")  # as many as it has keys at most
+    edges = least.select(F.col("least").alias("a"), "b").union(least.select(F.col("least").alias("a"), F.explode("firsts").alias("b"))).filter("a <> b").distinct()
+    groups = components(edges).withColumnRenamed("node", "class").withColumnRenamed("label", "grp")
     # Verification.
     members = written(classes.join(groups, "class").select("grp", "node", "weight", "__id", "__h", "n"), "candidates")
     sizes = members.groupBy("grp").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_NODES), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
