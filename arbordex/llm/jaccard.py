@@ -327,6 +327,11 @@ def jaccard_groups(docs: DataFrame, *, width: int = 5, num: int = 80, den: int =
     and blank texts have no shingle, no link and their own id. Repeated rows are linked with each other. Extra columns
     are not read; an empty table gives no rows.
     """
+    return _grouped(docs, width, num, den, id_col, text_col).drop("__c")
+
+
+def _grouped(docs: DataFrame, width: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
+    """jaccard_groups() with __c, the verified component's own key (ids may be null or repeat; null without shingles)."""
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(docs[id_col].alias("__id"), F.xxhash64(docs[text_col]).alias("__h"), docs[text_col].alias("__text"))
@@ -360,27 +365,32 @@ def jaccard_groups(docs: DataFrame, *, width: int = 5, num: int = 80, den: int =
     n_links = checked.filter("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n_links"))
     linked = labels.join(classes.select("node", "least"), "node")
     ids = linked.groupBy("label").agg(F.min("least").alias("component_id"))
-    by_node = linked.join(ids, "label").join(n_links, "node", "left").select("node", "component_id", "n_links")
+    by_node = linked.join(ids, "label").join(n_links, "node", "left").select("node", "label", "component_id", "n_links")
     by_class = classes.select("sig", "node", "least", "weight").join(by_node, "node", "left").select(
-        "sig", F.when(F.col("component_id").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"), (F.coalesce("n_links", F.lit(0)) + F.col("weight") - 1).alias("n_links")
+        "sig", F.coalesce("label", "node").alias("__c"), F.when(F.col("component_id").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"), (F.coalesce("n_links", F.lit(0)) + F.col("weight") - 1).alias("n_links")
     )
     by_run = first.select("__run", "sig").join(by_class, "sig")  # a class of a third of all rows is spread over its runs
-    back = some.select("__id", "__h", "n", "sig", run).join(by_run, ["__run", "sig"]).select("__id", "__h", "n", "component_id", "n_links")
-    none = profile.filter("n = 0").select("__id", "__h", "n", F.col("__id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
-    return back.unionByName(none).select(F.col("__id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", "n_links", "__h")
+    back = some.select("__id", "__h", "n", "sig", run).join(by_run, ["__run", "sig"]).select("__id", "__h", "n", "component_id", "n_links", "__c")
+    none = profile.filter("n = 0").select("__id", "__h", "n", F.col("__id").alias("component_id"), F.lit(0).cast("long").alias("n_links"), F.lit(None).cast("long").alias("__c"))
+    return back.unionByName(none).select(F.col("__id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", "n_links", "__h", "__c")
 
 
 def keep_one(docs: DataFrame, *, width: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one row of each component: that of the smallest id (rows without shingles all stay).
 
-    Of rows that repeat the smallest id in one component, one stays, and one of null ids where all ids are null.
+    Components are told apart by their links, not by ids: unlinked rows stay, whether their ids are null or repeat. Of
+    rows that repeat the smallest id in one component, one stays, and one of null ids where all ids are null.
     """
-    groups = written(jaccard_groups(docs, width=width, num=num, den=den, id_col=id_col, text_col=text_col), "groups")
-    stay = groups.filter((F.col("n_shingles") == 0) | F.col(id_col).eqNullSafe(F.col("component_id")))
-    repeated = stay.filter("n_shingles > 0").groupBy("component_id").count().filter("count > 1").limit(1).count()
-    stay = stay.groupBy(F.col(id_col).alias("__k"), F.when(F.col("n_shingles") > 0, F.col("component_id")).alias("__c"), (F.col("n_shingles") == 0).alias("__none")).agg(F.min("__h").alias("__kh")) if repeated else stay.select(F.col(id_col).alias("__k"), F.col("__h").alias("__kh"), (F.col("n_shingles") == 0).alias("__none"))
+    groups = written(_grouped(docs, width, num, den, id_col, text_col), "groups")
+    key, none = groups[id_col].alias("__k"), (F.col("n_shingles") == 0).alias("__none")
+    some = groups.filter((F.col("n_shingles") > 0) & F.col(id_col).eqNullSafe(F.col("component_id")))  # one id in each __c
+    repeated = some.groupBy("__c").count().filter("count > 1").limit(1).count()
+    stay = some.select("__c", key, F.col("__h").alias("__kh"), none)
+    if repeated:
+        stay = stay.groupBy("__c", "__k", "__none").agg(F.min("__kh").alias("__kh"))
+    stay = stay.select("__k", "__kh", "__none").unionByName(groups.filter("n_shingles = 0").select(key, F.col("__h").alias("__kh"), none).distinct())
     marked = docs.withColumn("__hash", F.xxhash64(docs[text_col]))
-    keep = if_small(stay.select("__k", "__kh", "__none").distinct())
+    keep = if_small(stay)
     kept = marked.join(keep, marked[id_col].eqNullSafe(keep["__k"]) & (marked["__hash"] == keep["__kh"]))
     if repeated:
         kept = kept.filter("__none").unionByName(kept.filter("not __none").dropDuplicates(["__k", "__kh"]))

@@ -157,6 +157,19 @@ def test_jaccard_keep_one(spark):
     assert jaccard.jaccard_groups(docs_of(spark, [])).count() == 0 and jaccard.keep_one(docs_of(spark, [])).count() == 0
 
 
+def test_jaccard_keep_one_without_usable_ids(spark):
+    rng = np.random.default_rng(8)
+    text = [" ".join(f"{c}{x}" for x in rng.integers(0, 500, 60)) for c in "abcdefg"]
+    near = mutated(rng, text[6], 1)
+    rows = [(None, t) for t in text[:4]] + [(None, text[0]), (7, text[4]), (7, text[5]), (7, text[5])]  # no two texts are linked
+    rows += [(None, text[6]), (None, near), (8, None), (8, ""), (8, " "), (None, ""), (None, " ")]
+    for fewer in (rows, rows[:4]):
+        kept = Counter((r["doc_id"], r["text"]) for r in jaccard.keep_one(docs_of(spark, fewer)).collect())
+        linked = kept.pop((None, text[6]), 0) + kept.pop((None, near), 0)
+        want = [r for r in dict.fromkeys(fewer) if r[1] not in (text[6], near)]
+        assert kept == Counter(want) and linked == (len(fewer) > 4)
+
+
 def test_parity_sketch_is_a_lower_bound():
     rng = np.random.default_rng(1)
     for _ in range(50):
