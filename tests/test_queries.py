@@ -38,3 +38,18 @@ def test_own_writes(spark, sf):
                 want.add((r["usn"], r["op"], r["frn"]))
             own.discard(r["frn"])
     assert {tuple(r) for r in Q.own_writes(spark, sf).collect()} == want
+
+
+def test_descendants_of_every_directory(spark, sf):
+    rows = Q.catalog(spark, sf).select("volume", "record", "tree_parent", "is_dir").collect()
+    up = {(r["volume"], r["record"]): r["tree_parent"] for r in rows}
+    dirs = {(r["volume"], r["record"]) for r in rows if r["is_dir"]}
+    want = set()
+    for volume, record in up:
+        at = record
+        while at is not None:
+            if (volume, at) in dirs:
+                want.add((volume, at, record))
+            at = up[volume, at]
+    got = [(r["volume"], r["root"], r["record"]) for r in Q.descendants_all(spark, sf).collect()]
+    assert len(got) == len(want) and set(got) == want and {x[:2] for x in got} == dirs
