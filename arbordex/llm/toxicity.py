@@ -20,6 +20,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -33,7 +34,10 @@ from arbordex.llm._common import table
 MAX_TOXIC = 4000
 MAX_CLEAN = 12000
 MAX_ITEMS = 2000
-MAX_CANDIDATES = 20_000
+#: Least log-odds, less twice their standard error, of a learned item.
+SURE = 2.2
+#: Items that a task counts before it hands them on.
+FLUSH_ITEMS = 200_000
 STEM_LENGTHS = range(4, 9)
 
 # Seed words: generic English, plus function words of the languages at hand. Fixed values.
@@ -217,13 +221,22 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(f, pa.string()), pa.array(c, pa.int64())], ["item", "context"])
 
 
-def _present(wanted: frozenset[str], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(item, toxic) for each wanted item that a document has."""
+def _present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(item, clean, toxic): numbers of documents that have an item, summed over some batches."""
+    seen: tuple[Counter, Counter] = (Counter(), Counter())
+
+    def out() -> pa.RecordBatch:
+        items = list(seen[0].keys() | seen[1].keys())
+        return pa.RecordBatch.from_arrays([pa.array(items, pa.string()), *(pa.array([c[x] for x in items], pa.int64()) for c in seen)], ["item", "clean", "toxic"])
+
     for b in batches:
         for text, toxic in zip(b["__text"].to_pylist(), b["__toxic"].to_pylist(), strict=True):
-            found = wanted & _features(_WORD.findall((text or "").lower())).keys()
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array([toxic] * len(found), pa.int32())], ["item", "toxic"])
+            seen[toxic].update(_features(_WORD.findall((text or "").lower())).keys())
+            if len(seen[0]) + len(seen[1]) > FLUSH_ITEMS:
+                yield out()
+                seen = (Counter(), Counter())
+    if seen[0] or seen[1]:
+        yield out()
 
 
 def training_fold(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -249,18 +262,18 @@ def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     support = (
         texts.filter("__toxic = 1").select("__text").mapInArrow(_contexts, "item string, context long").groupBy("item").agg(F.count_distinct("context").alias("n")).filter(F.col("n") >= least)
     )
-    # Frequent items of clean documents too are most of them: the rarest of bounded number are looked up there.
-    support = {r["item"]: r["n"] for r in support.orderBy(F.desc("n"), "item").limit(MAX_CANDIDATES).collect()}
-    wanted = frozenset(support) | frozenset(seeds)
-    seen: dict[str, list[int]] = {w: [0, 0] for w in wanted}
-    for r in texts.select("__text", "__toxic").mapInArrow(lambda it: _present(wanted, it), "item string, toxic int").groupBy("item", "toxic").count().collect():
-        seen[r["item"]][r["toxic"]] = r["count"]
+    # Most items are frequent in clean documents too: odds are taken where the counts are, and only sure items collected.
+    counts = texts.select("__text", "__toxic").mapInArrow(_present, "item string, clean long, toxic long").groupBy("item").agg(F.sum("clean").alias("c"), F.sum("toxic").alias("t"))
+    sure = F.log((F.col("t") + 0.25) / (n_toxic + 0.5)) - F.log((F.col("c") + 0.25) / (n_clean + 0.5)) - 2 * F.sqrt(1 / (F.least("t", "n") + 0.25) + 1 / (F.col("c") + 0.5))
+    found = counts.join(support, "item", "left").filter((F.col("n").isNotNull() & (sure >= SURE - 1e-6)) | F.col("item").isin(list(seeds))).collect()
+    support = {r["item"]: r["n"] for r in found if r["n"] is not None}
+    seen = {w: (0, 0) for w in seeds} | {r["item"]: (r["c"], r["t"]) for r in found}
     odds = {w: math.log((t + 0.25) / (n_toxic + 0.5)) - math.log((c + 0.25) / (n_clean + 0.5)) for w, (c, t) in seen.items()}
     sure = {w: odds[w] - 2 * math.sqrt(1 / (min(t, support.get(w, t)) + 0.25) + 1 / (c + 0.5)) for w, (c, t) in seen.items()}
     items: dict[str, tuple[str, float]] = {}
     for w in sorted(support, key=lambda w: (-min(support[w], seen[w][1]) * max(sure[w], 0), -len(w), w)):
         stem = w.rstrip("$+")
-        if sure[w] < 2.2:
+        if sure[w] < SURE:
             continue
         if any(stem.startswith(x.rstrip("$+")) or x.startswith(stem) for x in items):
             continue

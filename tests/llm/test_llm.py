@@ -258,6 +258,18 @@ def test_toxicity_held_out(spark):
     assert np.mean([r["predicted"] == y for r, y in rows]) > 0.9
 
 
+def test_toxicity_learns_rare_items(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "MAX_CANDIDATES", 5, raising=False)
+    rng = np.random.default_rng(9)
+    common = [f"{a}{b}lo" for a in "bdfgk" for b in "aeiou"]
+    rows = []
+    for i in range(200):
+        words = list(rng.permutation(common))
+        rows.append((i, " ".join(words) + (f". {common[i % 3]} zwurx" if i < 60 else "")))
+    labels = spark.createDataFrame([(i, int(i < 60)) for i, _ in rows], "doc_id long, toxic int")
+    assert "zwurx" in {x.rstrip("$+") for x in toxicity.learn(docs_of(spark, rows), labels).items}
+
+
 def test_quality_held_out(spark):
     rows = held_out(spark, "op5_quality", "quality")
     assert auc([r["tail"] for r, _ in rows], [y for _, y in rows]) > 0.8
