@@ -8,14 +8,12 @@ points at, so depth d costs log2(d) self-joins; rows on cycles never run out of
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from arbordex.functions import scalars as S
 from arbordex.operators.ordinals import ranked
-from arbordex.storage import if_small, written
+from arbordex.storage import if_small, release, scratch, written
 
 SEPARATOR = "\\"
 MAX_COMPONENTS = 512
@@ -34,34 +32,43 @@ def with_ordinals(records: DataFrame) -> DataFrame:
     return rows.join(named, ["volume", "parent_frn"], "left")
 
 
-def canonical_parents(rows: DataFrame, n: int | None = None) -> DataFrame:
+def canonical_parents(rows: DataFrame) -> DataFrame:
     """(volume, record, tree_parent, pseudo) from (volume, record, parent).
 
-    Only rows that still have a pointer are carried on. A chain of n rows ends within log2(n) rounds; what is left
-    then is on or below a cycle, and has seen all its ancestors' numbers.
+    Only rows whose chain is open are carried: one that points at a settled row is settled too. A chain settles in the
+    logarithm of its length, level by level, so a round that settles nothing has rows on and below cycles only; those go
+    on until no smallest ancestor changes.
     """
     start = rows.select("volume", "record", F.when(F.col("parent") != F.col("record"), F.col("parent")).alias("parent"))
-    state = written(start.select("volume", "record", "parent", F.col("parent").alias("up"), F.col("parent").alias("least")), "pointers")
-    n = n or state.count()
-    for _ in range(max(1, math.ceil(math.log2(n + 1))) + 1):
-        if not state.filter("up is not null").limit(1).count():
+    open_ = written(start.filter("parent is not null").select("volume", "record", F.col("parent").alias("up"), F.col("parent").alias("least"), F.lit(True).alias("moved")), "pointers")
+    n = open_.count()
+    while n:
+        far = open_.select("volume", F.col("record").alias("up"), F.col("up").alias("__up"), F.col("least").alias("__least"))
+        step = open_.join(far, ["volume", "up"]).select("volume", "record", F.col("__up").alias("up"), F.least("least", "__least").alias("least"), (F.col("__least") < F.col("least")).alias("moved"))
+        new = written(step, "pointers")
+        left, moved = new.agg(F.count(F.lit(1)), F.max("moved")).first()
+        release(open_)
+        settled, open_, n = n - left, new, left
+        if not settled and not moved:
             break
-        far = state.select("volume", F.col("record").alias("up"), F.col("up").alias("__up"), F.col("least").alias("__least"))
-        open_ = state.filter("up is not null").join(far, ["volume", "up"]).select("volume", "record", "parent", F.col("__up").alias("up"), F.least("least", "__least").alias("least"))
-        state = written(state.filter("up is null").unionByName(open_), "pointers")
-    kept = F.col("up").isNull() | (F.col("least") < F.col("record"))
-    return state.select("volume", "record", F.when(kept, F.col("parent")).alias("tree_parent"), (~kept).alias("pseudo"))
+    ringed = if_small(open_.select("volume", "record", (F.col("least") < F.col("record")).alias("__kept")))
+    kept = F.coalesce("__kept", F.lit(True))
+    return start.join(ringed, ["volume", "record"], "left").select("volume", "record", F.when(kept, F.col("parent")).alias("tree_parent"), (~kept).alias("pseudo"))
 
 
 def chains(rows: DataFrame) -> DataFrame:
-    """(volume, record, chain): structs (r, name, d) from the root to the record, from acyclic tree_parent."""
+    """(volume, record, chain): structs (r, name, d) from the root to the record, from acyclic tree_parent.
+
+    Settled rows are written once; each round carries the open ones.
+    """
     one = F.array(F.struct(F.col("record").alias("r"), "name", F.col("is_dir").alias("d")))
-    state = written(rows.select("volume", "record", F.col("tree_parent").alias("up"), one.alias("chain")), "chains")
-    while state.filter("up is not null").limit(1).count():
-        far = state.select("volume", F.col("record").alias("up"), F.col("up").alias("__up"), F.col("chain").alias("__chain"))
-        open_ = state.filter("up is not null").join(far, ["volume", "up"]).select("volume", "record", F.col("__up").alias("up"), F.concat("__chain", "chain").alias("chain"))
-        state = written(state.filter("up is null").unionByName(open_), "chains")
-    return state.select("volume", "record", "chain")
+    first = rows.select("volume", "record", F.col("tree_parent").alias("up"), one.alias("chain"))
+    done, open_ = first.filter("up is null"), first.filter("up is not null")
+    while open_.limit(1).count():
+        far = done.unionByName(open_).select("volume", F.col("record").alias("up"), F.col("up").alias("__up"), F.col("chain").alias("__chain"))
+        new = written(open_.join(far, ["volume", "up"]).select("volume", "record", F.col("__up").alias("up"), F.concat("__chain", "chain").alias("chain")), "chains")
+        done, open_ = done.unionByName(new.filter("up is null")), new.filter("up is not null")
+    return done.select("volume", "record", "chain")
 
 
 def path_of(chain: Column) -> Column:
@@ -84,21 +91,34 @@ def aggregates(rows: DataFrame) -> DataFrame:
 
 
 def build(records: DataFrame) -> DataFrame:
-    """The catalog (see COLUMNS) of canonical records, any number of volumes."""
+    """The catalog (see COLUMNS) of canonical records, any number of volumes, as a table in the shared folder."""
+    with scratch() as keep:
+        return keep(_built(records))
+
+
+def _built(records: DataFrame) -> DataFrame:
     rows = written(with_ordinals(records), "numbered")
     parents = canonical_parents(rows.select("volume", "record", "parent"))
     rows = rows.join(parents, ["volume", "record"])
     rows = written(rows.join(chains(rows), ["volume", "record"]).withColumn("anc", F.transform("chain", lambda x: x["r"])), "placed")
-    rows = rows.join(aggregates(rows), ["volume", "record"])
     roots = if_small(rows.filter("pseudo").select("volume", F.col("record").alias("__root"), F.lit(True).alias("__late")))
-    rows = rows.withColumn("__root", F.element_at("anc", 1)).join(roots, ["volume", "__root"], "left").withColumn("__late", F.coalesce("__late", F.lit(False)))
-    rows = ranked(rows, ["__late", "anc"], "dfs_pos")
-    return rows.select(
+    sized = rows.join(aggregates(rows), ["volume", "record"])
+    sized = sized.withColumn("__root", F.element_at("anc", 1)).join(roots, ["volume", "__root"], "left").withColumn("__late", F.coalesce("__late", F.lit(False)))
+    sized = written(sized, "sized")  # a range partitioning samples its input first: it must not be made twice
+    rows = ranked(sized, ["__late", "anc"], "dfs_pos")
+    built = rows.select(
         "volume", "record", "frn", "ord", "name", "lname", "is_dir", "mtime", "own_kib", "own_exact", "parent", "tree_parent", "anc",
         path_of(F.col("chain")).alias("path"), dir_blob(F.col("chain")).alias("dir_blob"), "rec_kib",
         F.when(F.col("is_dir"), F.col("all_exact")).otherwise(F.col("own_exact")).alias("size_exact"),
         "subtree_len", "dfs_pos", (F.col("dfs_pos") + F.col("subtree_len")).alias("dfs_end"),
     )
+    return written(built, "built")
+
+
+def children(catalog: DataFrame) -> DataFrame:
+    """(volume, record, n_children, first_child, last_child) of every record with children in the tree."""
+    below = catalog.filter("tree_parent is not null").groupBy("volume", F.col("tree_parent").alias("record"))
+    return below.agg(F.count(F.lit(1)).alias("n_children"), F.min("record").alias("first_child"), F.max("record").alias("last_child"))
 
 
 def descendants(catalog: DataFrame, roots: DataFrame) -> DataFrame:

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,9 +16,11 @@ BROADCAST_ROWS = 500_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a folder of our own only where it is unset, as in tests."""
+    """spark.checkpoint.dir. Unset, a single machine gets a folder of our own; a cluster must set it."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="arbordex-")
         spark.sparkContext.setCheckpointDir(where)
     return where.rstrip("/")
@@ -35,11 +40,44 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+_SCRATCH = threading.local()
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder, read back: short lineage, and readable by any executor."""
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    found._arbordex_path = path
+    if getattr(_SCRATCH, "tables", None) is not None:
+        _SCRATCH.tables.append(found)
+    return found
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables that written() made, once nothing lazy reads them any more."""
+    for df in tables:
+        p, fs = hadoop_path(df.sparkSession, df._arbordex_path)
+        fs.delete(p, True)
+
+
+@contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables that written() makes in here are deleted at the end, but for those handed to the function that this gives."""
+    outer, _SCRATCH.tables = getattr(_SCRATCH, "tables", None), []
+    kept: set[str] = set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.add(df._arbordex_path)
+        if outer is not None:
+            outer.append(df)
+        return df
+
+    try:
+        yield keep
+    finally:
+        made, _SCRATCH.tables = _SCRATCH.tables, outer
+        release(*[df for df in made if df._arbordex_path not in kept])
 
 
 def if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
