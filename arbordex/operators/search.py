@@ -13,7 +13,6 @@ from arbordex.plans.qlang import MAX_TERMS, Filter, Query, ascii_lower
 
 MAX_LIMIT = 100_000
 _LENGTH_BITS = 24
-_FALSE, _TRUE = F.lit, F.lit
 
 
 def term_matches(term: str) -> tuple[Column, Column]:
@@ -81,20 +80,29 @@ def clamp(limit: int) -> int:
     return max(0, min(limit, MAX_LIMIT))
 
 
-def hits(view: DataFrame, q: Query, order: str = "relevance", limit: int = 50, slots: dict[str, int] | None = None) -> DataFrame:
-    """Ranked hits (slot, volume, record, rank_bits, size, mtime, is_dir, size_exact), without paths.
+def hits(view: DataFrame, q: Query, order: str = "relevance", limit: int = 50, slots: dict[str, int] | None = None, with_paths: bool = False) -> DataFrame:
+    """Ranked hits (slot, volume, record, rank_bits, size, mtime, is_dir, size_exact), best first; with path if asked for.
 
     Each volume's candidates are filtered before the bounded top-k; across volumes, ties of rank_bits go by slot, then
-    record. slots: volume to slot (default: all 0).
+    record. slots: volume to slot (default: all 0). Paths come along in the same scan: only a partition's best rows hold one.
     """
     found, quality = compile_query(q)
     slot = F.lit(0)
     for volume, number in sorted((slots or {}).items()):
         slot = F.when(F.col("volume") == volume, number).otherwise(slot)
-    keyed = view.filter(found).select(slot.cast("int").alias("slot"), "volume", "record", rank_bits(order, quality).alias("rank_bits"), "size", "mtime", "is_dir", "size_exact")
+    keyed = view.filter(found).select(slot.cast("int").alias("slot"), "volume", "record", rank_bits(order, quality).alias("rank_bits"), "size", "mtime", "is_dir", "size_exact", *(["path"] if with_paths else []))
     return keyed.orderBy("rank_bits", "slot", "record").limit(clamp(limit))
 
 
+def scan(view: DataFrame, q: Query, limit: int = 50, *, in_order: bool = True) -> DataFrame:
+    """The first `limit` matches in the order of records (names), unranked: (volume, record, name).
+
+    in_order=False takes any: each partition stops after `limit` matches, and no rows are sorted.
+    """
+    found = view.filter(compile_query(q)[0]).select("volume", "record", "name")
+    return (found.orderBy("volume", "record") if in_order else found).limit(clamp(limit))
+
+
 def materialise(view: DataFrame, found: DataFrame) -> DataFrame:
     """Hits with their paths, best first. Only hits (MAX_LIMIT rows at most) are broadcast."""
     paths = view.select(F.col("volume").alias("__v"), F.col("record").alias("__r"), "path")
@@ -105,7 +113,7 @@ def materialise(view: DataFrame, found: DataFrame) -> DataFrame:
 
 def search(view: DataFrame, q: Query, order: str = "relevance", limit: int = 50, slots: dict[str, int] | None = None) -> DataFrame:
     """Results (path, size, mtime, is_dir, size_exact) best first."""
-    return materialise(view, hits(view, q, order, limit, slots)).select("path", "size", "mtime", "is_dir", "size_exact")
+    return hits(view, q, order, limit, slots, with_paths=True).select("path", "size", "mtime", "is_dir", "size_exact")
 
 
 def match_mask(view: DataFrame, terms: list[str]) -> DataFrame:
