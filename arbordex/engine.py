@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import threading
 import time
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from arbordex.operators import intervals
 from arbordex.operators import overlay as O
 from arbordex.operators import search as X
 from arbordex.operators import tree
@@ -35,15 +38,31 @@ class Catalog:
     def from_records(cls, records: DataFrame, next_usn: int = 0) -> Catalog:
         return cls(written(snapshots.sorted_by_name(tree.build(records)), "catalog"), None, next_usn)
 
+    @classmethod
+    def from_readers(cls, *readers: Callable[[], DataFrame]) -> Catalog:
+        """from_records() of the first reader that can read; the last one's error if none can."""
+        for n, reader in enumerate(readers, 1):
+            try:
+                return cls.from_records(reader())
+            except Exception:
+                if n == len(readers):
+                    raise
+        raise ValueError("no reader")
+
     @classmethod
     def open(cls, spark: SparkSession, path: str) -> Catalog:
+        """The stored snapshot with its stored overlay, if it has one."""
         base, meta = snapshots.load(spark, path)
-        return cls(base, None, meta["next_usn"], meta["generation"])
+        stored = snapshots.load_overlay(spark, path, base, meta["generation"])
+        if stored is None:
+            return cls(base, None, meta["next_usn"], meta["generation"])
+        return cls(base, stored[0], stored[1]["next_usn"], meta["generation"])
 
     @classmethod
     def resume(cls, spark: SparkSession, path: str, events: DataFrame) -> Catalog:
         """The stored snapshot with all later events; NeedsFullIndex if they are more than 5 % of it."""
-        found = cls.open(spark, path)
+        base, meta = snapshots.load(spark, path)
+        found = cls(base, None, meta["next_usn"], meta["generation"])
         later = written(raw.real_changes(raw.replay(events, found.next_usn)), "replay")
         if O.exceeds_threshold(later.count(), found.base.count()):
             raise NeedsFullIndex("too many changes")
@@ -53,6 +72,16 @@ class Catalog:
         """Store the base, with the overlay compacted into it."""
         return snapshots.save((self.compact() if self.overlay else self).base, path, self.next_usn)
 
+    def save_overlay(self, path: str) -> None:
+        """Store the overlay beside the stored snapshot that it lies over: open() then finds both, without folding anew."""
+        base = snapshots.current(self.base.sparkSession, path)
+        if self.overlay is not None and base is not None:
+            snapshots.save_overlay(self.overlay, path, base=base["generation"], next_usn=self.next_usn)
+
+    def live_count(self) -> DataFrame:
+        """(volume, live): records that searches can find."""
+        return self.view().groupBy("volume").agg(F.count(F.lit(1)).alias("live"))
+
     def view(self) -> DataFrame:
         if self._view is None:
             self._view = X.base_view(self.base) if self.overlay is None else written(O.view(self.base, self.overlay), "view")
@@ -60,6 +89,8 @@ class Catalog:
 
     def apply(self, events: DataFrame, *, real: bool = False, own_names: list[str] | None = None) -> Catalog:
         """A catalog with the base's whole change log `events` as its overlay."""
+        if not real and raw.lost_data(events).limit(1).count():
+            raise NeedsFullIndex("the reader lost events")
         changes = events if real else raw.real_changes(events, own_names)
         folded = O.fold(self.base, changes)
         if folded.reindex.limit(1).count():
@@ -88,6 +119,21 @@ class Engine:
     def search(self, text: str | qlang.Query, kind: str | None = None, order: str = "relevance", limit: int = DEFAULT_LIMIT, now: int | None = None) -> DataFrame:
         return X.search(self.catalog.view(), self.query(text, kind, now), qlang.parse_order(order), limit, self.slots)
 
+    def paths(self, found: DataFrame) -> DataFrame:
+        """Hits of this catalog with their paths."""
+        return X.materialise(self.catalog.view(), found)
+
+    def scan(self, text: str | qlang.Query, kind: str | None = None, limit: int = DEFAULT_LIMIT, now: int | None = None, in_order: bool = True) -> DataFrame:
+        return X.scan(self.catalog.view(), self.query(text, kind, now), limit, in_order=in_order)
+
+    def counts(self, text: str | qlang.Query, kind: str | None = None, limit: int = DEFAULT_LIMIT, now: int | None = None) -> DataFrame:
+        """(seen, candidates, emitted) of a search."""
+        return intervals.counts(self.catalog.view(), X.compile_query(self.query(text, kind, now))[0], X.clamp(limit))
+
+    def stats(self) -> dict:
+        """Generation, cursor and live records by volume."""
+        return {"generation": self.catalog.generation, "next_usn": self.catalog.next_usn, "live": {r["volume"]: r["live"] for r in self.catalog.live_count().collect()}}
+
     def prefix(self, text: str, limit: int = DEFAULT_LIMIT) -> DataFrame:
         return self.search(text, "prefix", limit=limit)
 
@@ -106,6 +152,28 @@ class Engine:
         self.catalog.view().select("volume", "record", "path").createOrReplaceTempView("paths")
 
 
+class LocalSearch:
+    """Searches over the newest stored catalog of a folder, looked up again once the one at hand is `stale` seconds old."""
+
+    def __init__(self, spark: SparkSession, path: str, stale: float = 0.25, clock: Callable[[], float] = time.monotonic) -> None:
+        self.spark, self.path, self.stale, self.clock = spark, path, stale, clock
+        self._engine: Engine | None = None
+        self._seen: tuple = ()
+        self._looked = 0.0
+
+    def engine(self) -> Engine:
+        now = self.clock()
+        if self._engine is None or now - self._looked >= self.stale:
+            seen = tuple((m or {}).get("folder") for m in (snapshots.current(self.spark, self.path, k) for k in ("CURRENT", "OVERLAY")))
+            if self._engine is None or seen != self._seen:
+                self._engine, self._seen = Engine(Catalog.open(self.spark, self.path)), seen
+            self._looked = now
+        return self._engine
+
+    def search(self, text: str | qlang.Query, kind: str | None = None, order: str = "relevance", limit: int = DEFAULT_LIMIT, now: int | None = None) -> DataFrame:
+        return self.engine().search(text, kind, order, limit, now)
+
+
 def is_refinement(old: qlang.Query, new: qlang.Query) -> bool:
     """Each old term is a prefix of the new term at its place; more terms may follow. Text queries likewise."""
     if old.kind != new.kind or old.filter or new.filter:

@@ -20,6 +20,10 @@ NS_DOS = 2
 NS_WIN32 = (1, 3)
 
 
+#: The op of an event row that stands for lost events.
+OVERFLOW = "overflow"
+
+
 class JournalChanged(ValueError):
     """The journal is another one than the cursor's: index anew."""
 
@@ -60,8 +64,19 @@ def resolve_parents(records: DataFrame, root_frn: int) -> DataFrame:
 
 
 def decode_name(raw: Column) -> Column:
-    """Little-endian UTF-16 bytes to text; malformed units become U+FFFD."""
-    return F.decode(raw, "UTF-16LE")
+    """Little-endian UTF-16 bytes to text; surrogates without their other half become U+FFFD, an odd last byte is left out."""
+    units = F.regexp_replace(F.regexp_replace(F.hex(raw), "(..)(..)", "$2$1 "), " ..$", " ")
+    units = F.when(F.octet_length(raw) > 1, units).otherwise("")
+    units = F.regexp_replace(units, "(?<!D[89AB].. )D[C-F].. ", "FFFD ")
+    units = F.regexp_replace(units, "D[89AB].. (?!D[C-F])", "FFFD ")
+    return F.when(raw.isNotNull(), F.decode(F.unhex(F.replace(units, F.lit(" "), F.lit(""))), "UTF-16BE"))
+
+
+def link_counts(links: DataFrame) -> DataFrame:
+    """(seen, short_names, emitted, records) of link rows: all, those never shown, those that may be, and distinct records."""
+    shown = F.col("ns") != NS_DOS
+    count = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0))
+    return links.agg(F.count(F.lit(1)).alias("seen"), count(~shown).alias("short_names"), count(shown).alias("emitted"), F.count_distinct(F.when(shown, F.struct("volume", "frn"))).alias("records"))
 
 
 def from_filetimes(rows: DataFrame, col: str = "filetime") -> DataFrame:
@@ -79,6 +94,11 @@ def classify(journal: DataFrame) -> DataFrame:
     return journal.withColumn("op", op).withColumn("is_auxiliary", F.col("source_info").bitwiseAND(F.lit(SOURCE_AUXILIARY)) != 0)
 
 
+def lost_data(events: DataFrame) -> DataFrame:
+    """Rows by which a reader says that it lost events: what follows can't be folded, and a full index is needed."""
+    return events.filter(F.col("op") == OVERFLOW)
+
+
 def check_cursor(cursor: dict, journal: dict) -> None:
     """Raise unless events from cursor (volume_serial, journal_id, next_usn) on are all in journal (also first_usn)."""
     if any(cursor[k] != journal[k] for k in ("volume_serial", "journal_id")) or cursor["next_usn"] > journal["next_usn"]:

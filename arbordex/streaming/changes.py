@@ -41,6 +41,9 @@ class Follower:
     def on_batch(self, batch: DataFrame, number: int) -> None:
         base, meta = snapshots.load(self.spark, self.path)
         log = self._log(meta["generation"])
+        if raw.lost_data(batch).limit(1).count():
+            self._index_anew(batch, meta)
+            return
         new = raw.real_changes(batch, self.own_names).filter(F.col("usn") >= meta["next_usn"])
         new.write.mode("overwrite").parquet(f"{log}/batch={number}")
         changes = written(self.spark.read.schema(EVENTS).option("basePath", log).parquet(f"{log}/batch=*").drop("batch"), "log")
@@ -49,16 +52,20 @@ class Follower:
         try:
             found = Catalog(base, None, meta["next_usn"], meta["generation"]).apply(changes, real=True)
         except NeedsFullIndex:
-            if self.rebuild is None:
-                raise
-            self._replace(tree.build(self.rebuild()), batch, meta)
-            self.full_indexes += 1
+            self._index_anew(batch, meta)
             return
         if O.exceeds_threshold(changes.count(), meta["records"]):
             self._replace(found.compact().base, batch, meta)
             self.compactions += 1
         else:
             self.catalog = found
+            found.save_overlay(self.path)
+
+    def _index_anew(self, batch: DataFrame, meta: dict) -> None:
+        if self.rebuild is None:
+            raise NeedsFullIndex("events were lost or can't be folded, and there is nothing to rebuild from")
+        self._replace(tree.build(self.rebuild()), batch, meta)
+        self.full_indexes += 1
 
     def _replace(self, base: DataFrame, batch: DataFrame, meta: dict) -> None:
         last = batch.agg(F.max(F.coalesce("next_usn", F.col("usn") + 1))).first()[0]
@@ -71,9 +78,10 @@ class Follower:
         return events.writeStream.foreachBatch(self.on_batch).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
-def read_log(spark: SparkSession, path: str, files_per_trigger: int = 64) -> DataFrame:
-    """A change log of Parquet files as a stream, a bounded number of files at a time."""
-    return spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+def read_log(spark: SparkSession, path: str, files_per_trigger: int | None = 64, bytes_per_trigger: int | None = None) -> DataFrame:
+    """A change log of Parquet files as a stream, a bounded number of files (or of bytes, if given) at a time."""
+    limit = ("maxBytesPerTrigger", bytes_per_trigger) if bytes_per_trigger else ("maxFilesPerTrigger", files_per_trigger or 64)
+    return spark.readStream.schema(EVENTS).option(*limit).parquet(path)
 
 
 def purge_log(spark: SparkSession, path: str, before_generation: int) -> None:

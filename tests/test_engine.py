@@ -1,13 +1,20 @@
 """The query language, patterns, scalars, snapshots, sessions, streaming and policies."""
 
+import json
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
-from arbordex.engine import Catalog, Engine, NeedsFullIndex, Session, is_refinement
+from arbordex.engine import Catalog, Engine, LocalSearch, NeedsFullIndex, Session, is_refinement
 from arbordex.functions import regex as R
 from arbordex.functions import scalars as S
+from arbordex.operators import intervals as I
+from arbordex.operators import overlay as O
+from arbordex.operators import search as X
 from arbordex.operators import stats, tree
 from arbordex.plans import qlang as L
+from arbordex.plans import wire as W
 from arbordex.sources import raw, snapshots
 from arbordex.streaming import changes
 
@@ -59,7 +66,7 @@ def test_language():
 
 def test_patterns():
     assert R.wildcard("a.b*?") == "\\Aa\\.b.*.\\z" and R.java("(?=x)") is None and R.java("(a)\\1") is None and R.java("(") is None
-    assert set(R.required_literals("^report.*final$")) == {frozenset(["report"]), frozenset(["final"])} - {frozenset(["report"])} | {frozenset(["report"])}
+    assert set(R.required_literals("^report.*final$")) == {frozenset(["report"]), frozenset(["final"])}
     assert R.required_literals("a|b") == [] and R.required_literals("(foo|bar)x*") == [frozenset(["foo", "bar"])]
     assert all("k" not in x and "s" not in x for c in R.required_literals("disk_usage_books") for x in c)
 
@@ -173,3 +180,126 @@ def test_prefix_is_pushed_down(engine, spark, tmp_path):
     engine.catalog.save(path)
     plan = Engine(Catalog.open(spark, path)).hits("rep", "prefix")._jdf.queryExecution().executedPlan().toString()
     assert "StringStartsWith(lname,rep)" in plan and "TakeOrderedAndProject" in plan
+
+
+def test_lossy_names(spark):
+    raw_units = {"né😀": "né😀", "\ud83dx": "\ufffdx", "x\ude00": "x\ufffd", "\ud83d\ud83d\ude00": "\ufffd😀", "\ude00\ud83d": "\ufffd\ufffd", "": "", "\ud83d\ude00\ude00": "😀\ufffd"}
+    rows = [(bytearray(k.encode("utf-16le", "surrogatepass")), v) for k, v in raw_units.items()] + [(bytearray("ab".encode("utf-16le") + b"x"), "ab"), (bytearray(b"x"), ""), (None, None)]
+    df = spark.createDataFrame(rows, "b binary, want string")
+    assert df.filter(~raw.decode_name(F.col("b")).eqNullSafe(F.col("want"))).count() == 0
+
+
+def test_wire(spark, engine):
+    q, order, limit = W.decode_request(W.encode_request("path_terms", "documents type:file", 7, "recent", 100))
+    assert q == L.to_query("documents type:file", 100, "path_terms") and (order, limit) == ("recent", 7)
+    good = {"kind": "prefix", "pattern": "a", "limit": 1, "order": "relevance", "now": 0}
+    for bad in ({"kind": "fuzzy"}, {"order": "best"}, {"limit": "1"}, {"limit": True}, {"extra": 1}):
+        with pytest.raises(W.BadRequest):
+            W.decode_request(json.dumps(good | bad))
+    for text in ("", "[]", "{}", json.dumps({k: v for k, v in good.items() if k != "now"})):
+        with pytest.raises(W.BadRequest):
+            W.decode_request(text)
+    found = engine.search("type:file")
+    assert W.decode_results(W.encode_results(found)).collect() == found.collect()
+    with pytest.raises(Exception, match="(?i)malformed|parse"):
+        W.decode_results(spark.createDataFrame([("{nothing",)], "line string")).collect()
+
+
+def test_readers_in_turn(spark):
+    def broken():
+        raise OSError("no volume")
+
+    assert Catalog.from_readers(broken, lambda: spark.createDataFrame(TREE, tree.RECORDS)).base.count() == 7
+    with pytest.raises(OSError):
+        Catalog.from_readers(broken, broken)
+
+
+def test_scan_and_counts(engine):
+    assert [r["name"] for r in engine.scan("type:file", limit=2).collect()] == ["readme.txt", "report.docx"]
+    assert engine.scan("type:file", limit=3, in_order=False).count() == 3 and engine.scan("x" * 40).count() == 0
+    assert tuple(engine.counts("report", "prefix", 1).first()) == (7, 2, 1) and tuple(engine.counts("nothing").first()) == (7, 0, 0)
+    assert engine.stats()["live"] == {"C:": 7}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_interval_sets(spark, seed):
+    rng = random.Random(seed)
+    sets = [[(v, s, s + rng.randint(-1, 6)) for v in "ab" for s in rng.sample(range(40), rng.randint(0, 9))] for _ in range(2)]
+    schema = "volume string, start long, end long"
+    a, b = (spark.createDataFrame(x, schema) for x in sets)
+    cover = [{(v, p) for v, s, e in x for p in range(s, e)} for x in sets]
+
+    def islands(points):
+        out = []
+        for v, p in sorted(points):
+            if out and out[-1][0] == v and out[-1][2] == p:
+                out[-1] = (v, out[-1][1], p + 1)
+            else:
+                out.append((v, p, p + 1))
+        return out
+
+    assert sorted(map(tuple, I.normalise(a).collect())) == islands(cover[0])
+    assert sorted(map(tuple, I.union(a, b).collect())) == islands(cover[0] | cover[1])
+    assert sorted(map(tuple, I.intersect(a, b).collect())) == islands(cover[0] & cover[1])
+    rows = spark.createDataFrame([(v, p, f"x{p}") for v in "abc" for p in range(50)], "volume string, dfs_pos long, name string")
+    assert {(r["volume"], r["dfs_pos"]) for r in I.inside(rows, a).collect()} == cover[0]
+
+
+def test_terms_by_intervals(spark, engine):
+    base = engine.catalog.base
+    for text in ("documents", "doc", "documents report", "c: .pdf", "c: documents type:dir", "nothing", "", "documents documents"):
+        q = L.to_query(text, 0)
+        want = sorted(r["record"] for r in X.base_view(base).filter(X.compile_query(q)[0]).collect())
+        assert sorted(r["record"] for r in I.below_terms(base, q).collect()) == want, text
+
+
+def test_stored_overlay(spark, engine, tmp_path):
+    path = f"file://{tmp_path}/cat"
+    engine.catalog.save(path)
+    base = Catalog.open(spark, path)
+    log = [("C:", 1, "created", 50, 2, "New", True, False, 2), ("C:", 2, "created", 51, 50, "deep.txt", False, False, 3), ("C:", 3, "deleted", 5, None, None, None, False, 4)]
+    changed = base.apply(spark.createDataFrame(log, changes.EVENTS))
+    local = LocalSearch(spark, path, clock=lambda: now[0])
+    now = [0.0]
+    assert local.search("type:file", now=0).count() == 4
+    changed.save_overlay(path)
+    assert local.search("type:file", now=0).count() == 4  # not stale yet
+    now[0] = 0.3
+    assert local.search("type:file", now=0).count() == 4 and paths(local.search("deep", now=0)) == ["C:\\Documents\\New\\deep.txt"]
+    again = Catalog.open(spark, path)
+    rows = lambda c: sorted(map(tuple, c.view().collect()))
+    assert again.next_usn == 4 and rows(again) == rows(changed) and again.overlay.reindex.count() == 0
+    overlay = changed.overlay
+    for bad in (overlay.added.withColumn("parent_idx", F.col("idx")).withColumn("parent_kind", F.lit("delta")), overlay.added.withColumn("parent_idx", F.lit(99).cast("long")).withColumn("parent_kind", F.lit("base"))):
+        snapshots.save_overlay(O.Overlay(overlay.tombstones, bad, overlay.reindex), path, base=1, next_usn=4)
+        with pytest.raises(snapshots.BadOverlay):
+            Catalog.open(spark, path)
+    engine.catalog.save(path)  # another generation: the overlay is not its own
+    assert Catalog.open(spark, path).overlay is None
+
+
+def test_lost_events_need_a_full_index(spark, engine, tmp_path):
+    lost = spark.createDataFrame([("C:", 9, "overflow", None, None, None, None, False, 10)], changes.EVENTS)
+    with pytest.raises(NeedsFullIndex):
+        engine.catalog.apply(lost)
+    path = f"file://{tmp_path}/cat"
+    engine.catalog.save(path)
+    with pytest.raises(NeedsFullIndex):
+        changes.Follower(spark, path).on_batch(lost, 0)
+    follower = changes.Follower(spark, path, rebuild=lambda: spark.createDataFrame(TREE, tree.RECORDS))
+    follower.on_batch(lost, 0)
+    assert follower.full_indexes == 1 and follower.catalog.next_usn == 10 and follower.catalog.base.count() == 7
+
+
+def test_marker(spark):
+    r = spark.range(1).select(S.display_path(F.lit("a"), F.lit(True)), S.display_path(F.lit("a"), F.lit(False)), S.display_path(F.lit("a"), F.lit(True), "\\")).first()
+    assert tuple(r) == ("a/", "a", "a\\")
+
+
+def test_pointers_are_never_replaced(spark, tmp_path):
+    path = f"file://{tmp_path}/p"
+    for n in range(4):
+        snapshots.publish(spark, path, {"n": n})
+        assert snapshots.current(spark, path) == {"n": n}
+    (tmp_path / "p" / ".CURRENT-half").write_text("{")
+    assert snapshots.current(spark, path) == {"n": 3} and len(snapshots._pointers(spark, path, "CURRENT")) == 2
