@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 from arbordex.engine import Catalog, Session, Engine, is_refinement
 from arbordex.functions import regex as R
 from arbordex.functions import scalars as S
-from arbordex.operators import ordinals, overlay, skipping, stats, tree
+from arbordex.operators import intervals, ordinals, overlay, skipping, stats, tree
 from arbordex.operators import search as X
 from arbordex.plans import qlang
 from arbordex.sources import raw, star
+from arbordex.sources import snapshots
 from arbordex.sources.snapshots import sorted_by_name
-from arbordex.storage import written
+from arbordex.storage import fresh_path, written
 
 NOW = 915_148_800  # 1999-01-01
 _BUILT: dict[tuple[str, str, str], object] = {}
@@ -50,7 +51,7 @@ def _of(df: DataFrame, volume: str) -> DataFrame:
 
 
 def _found(view: DataFrame, q: qlang.Query, order: str = "relevance", limit: int = 50, slots: dict[str, int] | None = None) -> DataFrame:
-    return X.materialise(view, X.hits(view, q, order, limit, slots)).drop("slot")
+    return X.hits(view, q, order, limit, slots, with_paths=True).select("volume", "record", "rank_bits", "size", "mtime", "is_dir", "size_exact", "path")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -237,7 +238,7 @@ def _column(name: str, sql: str, *cols: str, volume: str | None = None) -> None:
 
 _column("name_rank", "frn, lname", "frn", "lname")
 _column("parent_resolution", "frn, parent", "frn", "parent")
-_column("canonical_parent", "parent, tree_parent", "parent", "tree_parent", volume="C:")
+_column("canonical_parent", "parent, tree_parent", "parent", "tree_parent")
 _column("full_path", "path", "path")
 _column("dfs_interval", "dfs_pos, dfs_pos + subtree_len AS dfs_end", "dfs_pos", "dfs_end")
 _column("subtree_count", "subtree_len", "subtree_len")
@@ -492,3 +493,143 @@ _NEXT = f"""{_FOLD}, nxt AS (SELECT c.volume, c.record AS ord, c.frn, CASE WHEN
 QUERIES |= {"compaction": compaction, "compaction_orphans": compaction_orphans}
 ORACLE["compaction"] = f"{_NEXT} SELECT volume, record, frn, name, path, rec_kib, size_exact, dfs_pos, subtree_len FROM n_cat"
 ORACLE["compaction_orphans"] = f"{_NEXT} SELECT volume, record, frn, name FROM n_cat WHERE tree_parent IS NULL"
+
+
+# --- interval sets, scans and counts -----------------------------------------------------------------------------
+
+_ISLANDS = "SELECT volume, min(dfs_pos) AS start, max(dfs_pos) + 1 AS \"end\" FROM (SELECT volume, dfs_pos, dfs_pos - row_number() OVER (PARTITION BY volume ORDER BY dfs_pos) AS i FROM cat WHERE {0}) GROUP BY volume, i"
+
+
+def _in_or_below(term: str) -> str:
+    """SQL: a record that is a directory with the term in its name, or lies below one."""
+    return f"(contains(blob, '{term}') OR is_dir AND contains(lname, '{term}'))"
+
+
+def term_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return intervals.term_intervals(catalog(spark, sf_dir), "a")
+
+
+def interval_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = catalog(spark, sf_dir)
+    return intervals.union(intervals.term_intervals(c, "nation_1"), intervals.term_intervals(c, "blue"))
+
+
+def interval_intersection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = catalog(spark, sf_dir)
+    return intervals.intersect(intervals.term_intervals(c, "a"), intervals.term_intervals(c, "1"))
+
+
+def interval_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = catalog(spark, sf_dir)
+    return intervals.inside(c.select("volume", "record", "dfs_pos"), intervals.term_intervals(c, "n1")).select("volume", "record", "dfs_pos")
+
+
+def term_set_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A term query with a filter, by one sweep a term."""
+    return intervals.below_terms(catalog(spark, sf_dir), qlang.to_query("a 1 type:file size:>1kb", NOW)).select("volume", "record", "path")
+
+
+QUERIES |= {"term_intervals": term_intervals, "interval_union": interval_union, "interval_intersection": interval_intersection, "interval_members": interval_members, "term_set_search": term_set_search}
+ORACLE["term_intervals"] = f"{_ALL} {_ISLANDS.format(_in_or_below('a'))}"
+ORACLE["interval_union"] = f"{_ALL} {_ISLANDS.format(_in_or_below('nation_1') + ' OR ' + _in_or_below('blue'))}"
+ORACLE["interval_intersection"] = f"{_ALL} {_ISLANDS.format(_in_or_below('a') + ' AND ' + _in_or_below('1'))}"
+ORACLE["interval_members"] = f"{_ALL} SELECT volume, record, dfs_pos FROM cat WHERE {_in_or_below('n1')}"
+ORACLE["term_set_search"] = f"{_ALL} SELECT volume, record, path FROM cat WHERE {_has('a')} AND {_has('1')} AND NOT is_dir AND size_exact AND rec_kib * 1024 >= 1025"
+
+
+def scan_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.scan(X.base_view(_of(catalog(spark, sf_dir), "V:")), qlang.to_query("asia 3", NOW), 500)
+
+
+def scan_any(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The limit is over the number of matches, so any first matches are all of them."""
+    return X.scan(X.base_view(catalog(spark, sf_dir)), qlang.to_query("n77", NOW, "substring"), X.MAX_LIMIT, in_order=False)
+
+
+def candidate_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Engine(Catalog(catalog(spark, sf_dir))).counts("order_1", "prefix", 200)
+
+
+def live_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return changed(spark, sf_dir).groupBy("volume").agg(F.count(F.lit(1)).alias("live"))
+
+
+def live_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ordinals.live_ranks(_of(catalog(spark, sf_dir), "V:"), folded(spark, sf_dir).tombstones)
+
+
+def dfs_running_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes of all records before each one in preorder: a subtree's sum is the difference of two of them."""
+    rows = catalog(spark, sf_dir).select("volume", "record", "dfs_pos", "own_kib")
+    return ordinals.ranked(rows, ["dfs_pos"], "dfs_pos", running={"kib_before": "own_kib"}).select("volume", "record", "dfs_pos", "kib_before")
+
+
+def child_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tree.children(catalog(spark, sf_dir))
+
+
+def overlay_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The additions of a stored overlay, checked and read back."""
+    path = fresh_path(spark, "stored-overlay")
+    snapshots.save_overlay(folded(spark, sf_dir), path, base=1, next_usn=0)
+    return snapshots.load_overlay(spark, path, _of(catalog(spark, sf_dir), "V:"), 1)[0].added
+
+
+QUERIES |= {"scan_in_order": scan_in_order, "scan_any": scan_any, "candidate_counts": candidate_counts, "live_count": live_count, "live_ranks": live_ranks, "dfs_running_size": dfs_running_size, "child_table": child_table, "overlay_round_trip": overlay_round_trip}
+ORACLE["scan_in_order"] = f"{_with('V:')} SELECT volume, record, name FROM cat WHERE {_has('asia')} AND {_has('3')} ORDER BY record LIMIT 500"
+ORACLE["scan_any"] = f"{_ALL} SELECT volume, record, name FROM cat WHERE contains(lname, 'n77')"
+ORACLE["candidate_counts"] = f"{_ALL} SELECT count(*) AS seen, count(*) FILTER (starts_with(lname, 'order_1')) AS candidates, least(200, count(*) FILTER (starts_with(lname, 'order_1'))) AS emitted FROM cat"
+ORACLE["live_count"] = f"{_CHANGED} SELECT volume, count(*) AS live FROM v GROUP BY volume"
+ORACLE["live_ranks"] = f"""{_FOLD} SELECT volume, record, before AS dead_before, CASE WHEN dead = 0 THEN record - before END AS live_rank FROM (SELECT *, CAST(coalesce(sum(dead) OVER (PARTITION BY volume ORDER BY record ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before
+FROM (SELECT volume, record, CAST(record IN (SELECT record FROM tombs) AS INTEGER) AS dead FROM cat))"""
+ORACLE["dfs_running_size"] = f"{_ALL} SELECT volume, record, dfs_pos, CAST(coalesce(sum(own_kib) OVER (PARTITION BY volume ORDER BY dfs_pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS kib_before FROM cat"
+ORACLE["child_table"] = f"{_ALL} SELECT volume, tree_parent AS record, count(*) AS n_children, min(record) AS first_child, max(record) AS last_child FROM cat WHERE tree_parent IS NOT NULL GROUP BY ALL"
+ORACLE["overlay_round_trip"] = ORACLE["event_fold"]
+
+
+# --- readers and display -----------------------------------------------------------------------------------------
+
+
+def usn_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return raw.unsized(star.records(spark, sf_dir)).select("volume", "frn", "parent_frn", "name", "is_dir", "size_bytes", "size_exact")
+
+
+def lossy_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names as little-endian UTF-16, some with half a surrogate pair or an odd byte at the end, decoded again."""
+    c = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    k = F.col("conv_id") % 4
+    tail = F.when(k == 0, F.unhex(F.lit("3DD8"))).when(k == 1, F.unhex(F.lit("00DE3DD800DE"))).when(k == 2, F.unhex(F.lit("41"))).otherwise(F.unhex(F.lit("")))
+    return c.select("conv_id", "turn", raw.decode_name(F.concat(F.encode(F.col("text"), "UTF-16LE"), tail)).alias("name"))
+
+
+def name_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return snapshots.names_in(catalog(spark, sf_dir), "V:", 100, 1600)
+
+
+def name_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wanted = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.lit("V:").alias("volume"), (F.col("l_partkey") * 3).alias("record"))
+    return snapshots.name_of(catalog(spark, sf_dir), wanted)
+
+
+def link_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    return raw.link_counts(li.select(F.lit("V:").alias("volume"), F.col("l_partkey").alias("frn"), (F.col("l_linenumber") % 4).cast("int").alias("ns")))
+
+
+def marked_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shown = S.display_path(F.col("path"), F.col("is_dir"), "\\")
+    return catalog(spark, sf_dir).select("volume", "record", shown.alias("shown"), S.display_size(F.col("rec_kib") * 1024, F.col("is_dir"), F.col("size_exact")).alias("size"))
+
+
+QUERIES |= {"usn_listing": usn_listing, "lossy_names": lossy_names, "name_range": name_range, "name_of": name_of, "link_counts": link_counts, "marked_path": marked_path}
+ORACLE["usn_listing"] = "SELECT volume, frn, parent_frn, name, is_dir, 0::BIGINT AS size_bytes, false AS size_exact FROM (" + " UNION ALL ".join(f"({r})" for r in _RECORDS.values()) + ")"
+ORACLE["lossy_names"] = "SELECT conv_id, turn, text || CASE conv_id % 4 WHEN 0 THEN chr(65533) WHEN 1 THEN chr(65533) || chr(128512) ELSE '' END AS name FROM conversations"
+ORACLE["name_range"] = f"{_with('V:')} SELECT record, name FROM cat WHERE record BETWEEN 100 AND 1599"
+ORACLE["name_of"] = f"{_with('V:')} SELECT volume, record, name FROM cat WHERE record IN (SELECT l_partkey * 3 FROM lineitem)"
+ORACLE["link_counts"] = "SELECT count(*) AS seen, count(*) FILTER (l_linenumber % 4 = 2) AS short_names, count(*) FILTER (l_linenumber % 4 <> 2) AS emitted, count(DISTINCT l_partkey) FILTER (l_linenumber % 4 <> 2) AS records FROM lineitem"
+ORACLE["marked_path"] = f"""{_ALL} SELECT volume, record, path || CASE WHEN is_dir THEN chr(92) ELSE '' END AS shown,
+CASE WHEN size_exact THEN {_SHOWN.format('(rec_kib * 1024)')} WHEN is_dir AND rec_kib > 0 THEN '≥' || {_SHOWN.format('(rec_kib * 1024)')} ELSE '—' END AS size FROM cat"""
+ORACLE["own_writes"] = f"""WITH {_CHANGES},
+e AS (SELECT event_id AS usn, op, frn, name, op IN ('created', 'renamed') AS named, coalesce(lower(name) = 'moved_0.dat', false) AS own FROM (SELECT usn AS event_id, * EXCLUDE (usn) FROM chg)),
+m AS (SELECT *, last_value(CASE WHEN op = 'deleted' THEN false WHEN named AND own THEN true END IGNORE NULLS) OVER (PARTITION BY frn ORDER BY usn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS mine FROM e)
+SELECT usn, op, frn FROM m WHERE named AND NOT own OR op = 'deleted' AND NOT coalesce(mine, false)"""

@@ -14,13 +14,13 @@ def test_all_registered():
     import __spark_entry__ as E
 
     assert set(Q.QUERIES) <= set(E.queries())
-    assert set(Q.QUERIES) - set(Q.ORACLE) == {"own_writes"}
+    assert set(Q.QUERIES) == set(Q.ORACLE)
 
 
 def test_entry(spark):
     import __spark_entry__ as E
 
-    assert E.entry(spark).columns[0] == "volume"
+    assert E.entry(spark).columns == ["volume", "record", "rank_bits", "size", "mtime", "is_dir", "size_exact", "path"]
 
 
 def test_own_writes(spark, sf):
