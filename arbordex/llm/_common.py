@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,12 +15,16 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 #: A side is broadcast only if a count shows that it has at most this many rows (of a few dozen bytes each).
 BROADCAST_ROWS = 1_000_000
+#: Bytes of an Arrow batch that goes to Python.
+BATCH_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or (unset, as in tests) one of our own."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Unset, a single machine gets one of our own."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="arbordex-")
         spark.sparkContext.setCheckpointDir(where)
     return where.rstrip("/")
@@ -36,12 +43,63 @@ def drop_path(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+_SCRATCH = threading.local()
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder: lineage is cut, and any executor (a new one too) can read it again."""
     path = fresh_path(df.sparkSession, name)
     schema = df.schema
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(schema).parquet(path)
+    found = df.sparkSession.read.schema(schema).parquet(path)
+    found._arbordex_path = path
+    if getattr(_SCRATCH, "tables", None) is not None:
+        _SCRATCH.tables.append(found)
+    return found
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables that written() made, once nothing lazy reads them any more."""
+    for df in tables:
+        drop_path(df.sparkSession, df._arbordex_path)
+
+
+@contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables that written() makes in here are deleted at the end, but for those handed to the function that this gives."""
+    outer, _SCRATCH.tables = getattr(_SCRATCH, "tables", None), []
+    kept: set[str] = set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.add(df._arbordex_path)
+        if outer is not None:
+            outer.append(df)
+        return df
+
+    try:
+        yield keep
+    finally:
+        made, _SCRATCH.tables = _SCRATCH.tables, outer
+        release(*[df for df in made if df._arbordex_path not in kept])
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """The name, lengthened until df has no such column (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def small_batches(spark: SparkSession) -> SparkSession:
+    """The session, with Arrow batches of at most BATCH_BYTES unless it was set to other than Spark's default.
+
+    A batch of whole texts lies in the executor's and in the Python worker's memory at once, for every running task.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if str(spark.conf.get(key)).lower().rstrip("b") in ("67108864", "64m"):
+        spark.conf.set(key, str(BATCH_BYTES))
+    return spark
 
 
 def if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

@@ -19,9 +19,11 @@ def components(edges: DataFrame) -> DataFrame:
     def save(df: DataFrame, name: str) -> tuple[DataFrame, str]:
         path = fresh_path(spark, name)
         df.write.parquet(path)
-        return spark.read.schema("node long, label long" if name == "labels" else "a long, b long").parquet(path), path
+        found = spark.read.schema("node long, label long" if name == "labels" else "a long, b long").parquet(path)
+        found._arbordex_path = path
+        return found, path
 
-    both, _ = save(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    both, edges_path = save(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels, path = save(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("label")), "labels")
     while True:
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
@@ -33,4 +35,5 @@ def components(edges: DataFrame) -> DataFrame:
         drop_path(spark, path)
         labels, path = new, new_path
         if not moved:
+            drop_path(spark, edges_path)
             return labels

@@ -5,12 +5,15 @@ Everything here works on one Arrow batch at a time: memory is a small multiple o
 
 from __future__ import annotations
 
+import ctypes
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
 _P = 0x9E3779B97F4A7C15 | 1
 _PINV = pow(_P, -1, 1 << 64)
 _LUT = np.random.Generator(np.random.PCG64(20240607)).integers(1, 1 << 63, 256, dtype=np.uint64) * U64(2) + U64(1)
@@ -66,6 +69,13 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, offsets - offsets[0]
 
 
+def give_back() -> None:
+    """Memory that this worker has freed goes back to the system: workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
 def slices(batch: pa.RecordBatch, column: str, rows: int = 2000, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in parts of at most `rows` rows and about `size` bytes of text (a longer text is a part of its own)."""
     _, offsets = text_bytes(batch[column])
@@ -75,6 +85,7 @@ def slices(batch: pa.RecordBatch, column: str, rows: int = 2000, size: int = 1 <
         to = min(max(to, at + 1), at + rows, batch.num_rows)
         yield batch.slice(at, to - at)
         at = to
+    give_back()
 
 
 def prefix_hash(raw: np.ndarray) -> np.ndarray:
@@ -93,6 +104,53 @@ def span_hash(h: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return mix((h[end] - h[start]) * down[start] + (end - start).astype(np.uint64) * U64(0x2545F4914F6CDD1D))
 
 
+_M31 = U64((1 << 31) - 1)
+_BASES = (1_220_703_125, 1_078_318_381)
+_LUTS = tuple(np.random.Generator(np.random.PCG64(x)).integers(1, 1 << 31, 256, dtype=np.uint64) for x in (41, 43))
+
+
+class _FieldPowers:
+    """Powers of the bases and of their inverses in the field of 2^31 - 1 elements, kept for the life of the worker."""
+
+    def __init__(self) -> None:
+        self.tables = [np.ones(1, np.uint64)] * 4
+
+    def get(self, n: int) -> list[np.ndarray]:
+        size = len(self.tables[0])
+        while size < n:
+            for i, base in enumerate((*_BASES, *(pow(b, -1, int(_M31)) for b in _BASES))):
+                step = U64(pow(base, size, int(_M31)))
+                self.tables[i] = np.concatenate((self.tables[i], self.tables[i] * step % _M31))
+            size *= 2
+        return [t[:n] for t in self.tables]
+
+
+_FIELD = _FieldPowers()
+
+
+def field_prefix(raw: np.ndarray) -> list[np.ndarray]:
+    """Prefix sums of two polynomial hashes in a prime field: unlike prefix_hash(), no texts collide by construction."""
+    powers = _FIELD.get(len(raw) + 1)
+    out = []
+    for lut, up in zip(_LUTS, powers, strict=False):
+        t = lut[raw]
+        t *= up[: len(raw)]
+        low = t & _M31
+        t >>= U64(31)
+        t += low
+        h = np.zeros(len(raw) + 1, np.uint64)
+        np.cumsum(t, out=h[1:])
+        out.append(h)
+    return out
+
+
+def field_span(h: list[np.ndarray], start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """62 bits of raw[start:end], wherever it stands, mixed with its length."""
+    down = _FIELD.get(len(h[0]))[2:]
+    one, two = ((x[end] - x[start]) % _M31 * d[start] % _M31 for x, d in zip(h, down, strict=True))
+    return mix(((one << U64(31)) | two) + (end - start).astype(np.uint64) * U64(0x2545F4914F6CDD1D))
+
+
 def words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Maximal runs of bytes outside ASCII white space, never across documents.
 
@@ -112,6 +170,65 @@ def words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return start, end, np.searchsorted(start, offsets)
 
 
+_WORDS: dict[bytes, int] = {}
+
+
+def word_codes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """A number for every word, equal for equal bytes only, and the words by number (no hash decides)."""
+    solid = np.zeros(len(raw) + 1, dtype=np.int8)
+    solid[start] = 1
+    solid[end] -= 1
+    data = raw[np.cumsum(solid[:-1]).astype(bool)]
+    at = np.concatenate(([0], np.cumsum(end - start))).astype(np.int64)
+    column = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(at.tobytes()), pa.py_buffer(data.tobytes())])
+    coded = column.dictionary_encode()
+    return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary.to_pylist()
+
+
+def word_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64 bits of BLAKE2b of every word: no two words are known to collide, nor can such be constructed."""
+    if not len(start):
+        return np.zeros(0, np.uint64)
+    codes, names = word_codes(raw, start, end)
+    if len(_WORDS) > 100_000:
+        _WORDS.clear()
+    values = np.empty(len(names), np.uint64)
+    for i, name in enumerate(names):
+        value = _WORDS.get(name)
+        if value is None:
+            value = int.from_bytes(hashlib.blake2b(name, digest_size=8).digest(), "little")
+            if len(name) < 32:
+                _WORDS[name] = value
+        values[i] = value
+    return values[codes]
+
+
+def exact_shingles(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingles of every text as sorted numbers, equal for equal words only: (numbers, offsets by text).
+
+    Each round names pairs (shingle so far, next word) by their rank, so nothing is hashed.
+    """
+    sizes = [len(t) for t in texts]
+    raw = LOWER_AZ[np.frombuffer(b"".join(texts), np.uint8)]
+    start, end, first = words(raw, np.concatenate(([0], np.cumsum(sizes))).astype(np.int64))
+    if not len(start):
+        return np.zeros(0, np.int64), np.zeros(len(texts) + 1, np.int64)
+    codes = word_codes(raw, start, end)[0] + 1
+    n_words = np.diff(first)
+    doc = np.repeat(np.arange(len(texts)), n_words)
+    place = np.arange(len(codes)) - first[doc]
+    starts = np.flatnonzero((place <= n_words[doc] - width) | (place == 0))
+    name = codes[starts]
+    last = first[doc[starts] + 1]
+    for k in range(1, width):
+        at = starts + k
+        following = np.where(at < last, codes[np.minimum(at, len(codes) - 1)], 0)  # 0: the text ended, so it is short
+        name = np.unique((name << 32) | following, return_inverse=True)[1] + 1
+    top = int(name.max()) + 1
+    both = np.unique(doc[starts] * top + name)
+    return both % top, np.concatenate(([0], np.cumsum(np.bincount(both // top, minlength=len(texts)))))
+
+
 def shingles(column: pa.Array, width: int = 3) -> tuple[np.ndarray, np.ndarray]:
     """Distinct word shingles of every text as sorted 64-bit hashes: (hashes, offsets by document).
 
@@ -121,7 +238,7 @@ def shingles(column: pa.Array, width: int = 3) -> tuple[np.ndarray, np.ndarray]:
     raw, offsets = text_bytes(column)
     raw = LOWER_AZ[raw]
     start, end, first = words(raw, offsets)
-    w = span_hash(prefix_hash(raw), start, end)
+    w = word_hashes(raw, start, end)
     n_words = np.diff(first)
     if len(w) >= width:
         s = np.zeros(len(w) - width + 1, dtype=np.uint64)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from arbordex.llm import exact_dedup, jaccard, mixing, packing, toxicity
-from arbordex.llm._common import table, written
+from arbordex.llm._common import release, scratch, table, written
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +51,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the whole of documents."""
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+        with scratch() as keep:  # a stage's tables go once what it keeps is written
+            docs = keep(written(stage(spark, docs, sf_dir), name))
+        release(*before)
+        before = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
