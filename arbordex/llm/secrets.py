@@ -3,7 +3,7 @@
 Three base patterns find assignments, access keys and hex runs. On top, candidate strings (long runs of the usual
 secret alphabet) are scored by the Shannon entropy of a sliding window. The window's entropy follows from
 S = sum of c * log2(c) over its character counts c (H = log2(w) - S / w); moving the window by one changes two counts
-only, so S is updated from those two and never summed anew. c * log2(c) is held as an integer (times 2^20), so that
+only, so S and the count map are updated for those two, and neither is made anew. c * log2(c) is held as an integer (times 2^20), so that
 updates add up without rounding. Each character class (hex; letters and digits; base64 with symbols) has its own
 threshold. Candidates that an allow-list names (words, numbers, UUIDs, placeholders, paths) are suppressed.
 
@@ -35,6 +35,7 @@ def _either_case(word: str) -> str:
 ASSIGN = "(" + "|".join(map(_either_case, ASSIGN_WORDS)) + ")[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
 
 WINDOW = 20
+ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"  # of candidates
 CANDIDATE = "[A-Za-z0-9+/_=-]{20,}"
 #: Class, the characters that it is made of, and the least bits a character that one window must have.
 CLASSES = [("hex", "^[0-9a-fA-F]+$", 3.1), ("alnum", "^[A-Za-z0-9]+$", 3.65), ("base64", "^[A-Za-z0-9+/_=-]+$", 3.8)]
@@ -91,23 +92,35 @@ def _with_spans(df: DataFrame, name: str, kind: int, pattern: str, group: int |
 
 
 def least_s(text: Column) -> Column:
-    """The least S (scaled) over all windows of an ASCII string of at least WINDOW characters, by incremental counts."""
+    """The least S (scaled) over all windows of a candidate string of at least WINDOW characters, by incremental counts.
+
+    One pass over the characters carries the window's count map: 5 bits for each character of the alphabet, 12 counts in
+    a long. Each step adds the character that enters and takes off the one that leaves, reading and changing these two
+    counts only.
+    """
     f = F.array(*[F.lit(x) for x in _F])
     fn = lambda c: F.element_at(f, c + 1)
-    chars = F.split(text, "")
-    count = lambda at, c: F.size(F.filter(F.slice(chars, at, F.lit(WINDOW)), lambda x: x == c))
-    first = F.slice(chars, 1, WINDOW)
-    s0 = F.aggregate(F.array_distinct(first), F.lit(0), lambda s, c: s + fn(F.size(F.filter(first, lambda x: x == c))))
-
-    def move(state: Column, i: Column) -> Column:  # from the window at i to that at i + 1
-        out, new = F.element_at(chars, i), F.element_at(chars, i + WINDOW)
-        n_out = count(i, out)
-        n_new = count(i, new) - F.when(out == new, 1).otherwise(0)
-        s = state["s"] - fn(n_out) + fn(n_out - 1) - fn(n_new) + fn(n_new + 1)
-        return F.struct(s.alias("s"), F.least(state["low"], s).alias("low"))
-
-    moves = F.when(F.size(chars) > WINDOW, F.sequence(F.lit(1), F.size(chars) - WINDOW)).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(moves, F.struct(s0.alias("s"), s0.alias("low")), move, lambda s: s["low"])
+    shift = lambda name, x, bits: F.call_function(name, x, bits)
+    codes = F.transform(F.split(text, ""), lambda c: F.call_function("instr", F.lit(ALPHABET), c) - 1)
+
+    def count(counts: Column, code: Column) -> Column:
+        return shift("shiftright", F.element_at(counts, F.floor(code / 12).cast("int") + 1), code % 12 * 5).bitwiseAND(F.lit(31)).cast("int")
+
+    def one(code: Column, word: Column) -> Column:
+        return F.when(F.floor(code / 12).cast("int") == word, shift("shiftleft", F.lit(1).cast("long"), code % 12 * 5)).otherwise(F.lit(0).cast("long"))
+
+    def move(state: Column, i: Column) -> Column:  # from the window that ends before i to the one that ends at i
+        new = F.element_at(codes, i)
+        out = F.when(i > WINDOW, F.element_at(codes, F.greatest(i - WINDOW, F.lit(1)))).otherwise(F.lit(-1))
+        n_out = F.when(out >= 0, count(state["counts"], F.greatest(out, F.lit(0)))).otherwise(F.lit(0))
+        n_new = count(state["counts"], new) - F.when(out == new, 1).otherwise(0)
+        s = state["s"] - fn(n_out) + fn(F.greatest(n_out - 1, F.lit(0))) - fn(n_new) + fn(n_new + 1)
+        counts = F.transform(state["counts"], lambda x, word: x + one(new, word) - F.when(out >= 0, one(out, word)).otherwise(F.lit(0).cast("long")))
+        low = F.when(i >= WINDOW, F.least(state["low"], s)).otherwise(state["low"])
+        return F.struct(s.alias("s"), low.alias("low"), counts.alias("counts"))
+
+    start = F.struct(F.lit(0).alias("s"), F.lit((1 << 31) - 1).alias("low"), F.array_repeat(F.lit(0).cast("long"), -(-len(ALPHABET) // 12)).alias("counts"))
+    return F.aggregate(F.sequence(F.lit(1), F.size(codes)), start, move, lambda s: s["low"])
 
 
 def _is_secret(text: Column) -> Column:
