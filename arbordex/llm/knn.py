@@ -1,12 +1,16 @@
 """Exact top-k search by inner product with a KD-tree per shard (operator 7).
 
-Vectors are dealt to shards of a bounded number of rows by a hash of their id; a shard is one packed row, as is a block
-of queries. In each shard a KD-tree splits at the median of its widest axis, and every node keeps the tight box of its
-own points. For a query, a box bounds the inner product from above (per axis, the better corner), nodes are visited
-best bound first, and the visit ends where the bound falls below the k-th best score known. That score propagates: each
-query first searches its home shard, and takes the k-th score found there along as the floor for all other shards
-(a node is left out only if its bound is strictly lower, so ties stay). Queries meet shards by an equi-join on the shard
-number in blocks; a query's results are k rows per shard at most, and are ranked once more at the end.
+Shards are spatial: the medians of a bounded sample split space into cells (a KD-tree on the driver), every vector goes
+to its cell's shard, and a cell of many vectors (equal ones, say) is dealt to several shards by hash. In each shard a
+KD-tree splits at the median of its widest axis, and every node keeps the tight box of its own points; the root's box is
+the shard's. For a query, a box bounds the inner product from above (per axis, the better corner), nodes are visited
+best bound first, and the visit ends where the bound falls below the k-th best score known.
+
+Queries come in blocks of one cell. A block first meets boxes only: they bound what any of its queries can find in each
+shard, before a vector moves. Then the block's shards are searched best first, in rounds of 1, 4, 16, ... shards. After
+each round the k-th score of every query is its floor: the block goes on to a shard only if the shard's bound reaches the
+least of its floors, and in there each query visits nothing under its own (a bound that equals a floor is visited, so ties
+stay). In a task a shard's vectors come once, then the blocks that ask it, some at a time.
 """
 
 from __future__ import annotations
@@ -20,11 +24,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from arbordex.llm._common import table, written
+from arbordex.llm._common import if_small, partitions, release, small_batches, table, written
 
-SHARD_ROWS = 8192
+SHARD_ROWS = 4096
 BLOCK_ROWS = 512
 LEAF_ROWS = 128
+#: The tree over shards is split by the medians of at most so many vectors (those of the smallest hash of their id).
+SAMPLE_ROWS = 8192
+#: Shards' boxes that meet a query block in one row; query blocks that meet a shard in one task at a time.
+CHUNK_BOXES = 1024
+TASK_BLOCKS = 32
+#: A query block's shards are searched best bound first, and so many times more of them in each round.
+GROWTH = 4
 
 
 class KDTree:
@@ -104,66 +115,128 @@ def quantised(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
     return kept.select(vectors[id_col].cast("long").alias("__id"), F.transform(v, lambda x: F.floor(x.cast("double") * scale)).alias("__v"))
 
 
-_PACKED = "key long, dim int, ids binary, vectors binary"
+def split_tree(sample: np.ndarray, leaves: int) -> list[tuple[int, int, int, int]]:
+    """Nodes (axis, threshold, left, right) by medians of the widest axis; a leaf has axis -1 and its number on the left.
+
+    Vectors with at most the threshold go left. Cells of equal vectors are not split.
+    """
+    nodes: list[tuple[int, int, int, int]] = []
+    cells = 0
+    todo = [(np.arange(len(sample)), leaves, -1, 0)]
+    while todo:
+        rows, want, parent, side = todo.pop()
+        here = len(nodes)
+        if parent >= 0:
+            axis, at, left, right = nodes[parent]
+            nodes[parent] = (axis, at, left, here) if side else (axis, at, here, right)
+        points = sample[rows]
+        if want < 2 or len(rows) < 2 or not (points.max(axis=0) > points.min(axis=0)).any():
+            nodes.append((-1, 0, cells, 0))
+            cells += 1
+            continue
+        axis = int(np.argmax(points.max(axis=0) - points.min(axis=0)))
+        at = int(np.partition(points[:, axis], (len(rows) - 1) // 2)[(len(rows) - 1) // 2])
+        if at == points[:, axis].max():
+            at = int(points[:, axis][points[:, axis] < at].max())
+        low = points[:, axis] <= at
+        nodes.append((axis, at, 0, 0))
+        todo += [(rows[low], want // 2, here, 0), (rows[~low], want - want // 2, here, 1)]
+    return nodes
+
+
+def cell_of(nodes: list[tuple[int, int, int, int]], vectors: np.ndarray) -> np.ndarray:
+    table_ = np.array(nodes, dtype=np.int64).reshape(-1, 4)
+    at = np.zeros(len(vectors), np.int64)
+    while (open_ := np.flatnonzero(table_[at, 0] >= 0)).size:
+        axis, threshold, left, right = table_[at[open_]].T
+        at[open_] = np.where(vectors[open_, axis] <= threshold, left, right)
+    return table_[at, 2]
+
+
+def _celled(trees: dict[int, list], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(__id, __v) with dim and cell, and in binary form; lengths that the sample doesn't have are one cell each."""
+    for b in batches:
+        dims = np.diff(b["__v"].offsets.to_numpy()).astype(np.int64)
+        flat, cuts = b["__v"].flatten().to_numpy(zero_copy_only=False), np.concatenate(([0], np.cumsum(dims)))
+        cell = np.zeros(b.num_rows, np.int64)
+        for dim in np.unique(dims).tolist():
+            if dim in trees:
+                rows = np.flatnonzero(dims == dim)
+                cell[rows] = cell_of(trees[dim], flat[cuts[rows][:, None] + np.arange(dim)])
+        data = [flat[i:j].astype("<i8").tobytes() for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
+        yield pa.RecordBatch.from_arrays([b["__id"], pa.array(dims, pa.int32()), pa.array(cell), pa.array(data, pa.binary())], ["id", "dim", "cell", "v"])
 
 
 def _pack(rows_per: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of one (key, dim) after the other, sorted so, into packed rows of at most rows_per vectors."""
-    key, ids, vectors = None, [], []
+    """Rows (dim, cell, part, id, v) sorted by the first three, into packed rows of at most rows_per vectors with their box."""
+    mark, ids, vectors = None, [], []
 
     def out() -> pa.RecordBatch:
+        points = np.frombuffer(b"".join(vectors), "<i8").reshape(len(ids), -1)
+        box = [x.astype("<i8").tobytes() for x in (points.min(axis=0), points.max(axis=0))]
         return pa.RecordBatch.from_arrays(
-            [pa.array([key[0]], pa.int64()), pa.array([key[1]], pa.int32()), pa.array([np.concatenate(ids).tobytes()], pa.binary()), pa.array([np.concatenate(vectors).tobytes()], pa.binary())],
-            ["key", "dim", "ids", "vectors"],
+            [pa.array([mark[0]], pa.int32()), pa.array([mark[1]], pa.int64()), pa.array([np.array(ids, "<i8").tobytes()], pa.binary()), pa.array([points.tobytes()], pa.binary()), *(pa.array([x], pa.binary()) for x in box)],
+            ["dim", "cell", "ids", "vectors", "low", "high"],
         )
 
     for b in batches:
-        keys, dims = b["key"].to_numpy(zero_copy_only=False), b["dim"].to_numpy(zero_copy_only=False)
-        cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]) | (dims[1:] != dims[:-1])) + 1).tolist(), b.num_rows]
-        flat, offsets = b["__v"].flatten().to_numpy(zero_copy_only=False), np.concatenate(([0], np.cumsum(dims)))
-        for i, j in zip(cuts[:-1], cuts[1:], strict=True):
-            if i == j:
-                continue
-            if key is not None and key != (int(keys[i]), int(dims[i])):
+        for at, i, v in zip(zip(*(b[c].to_pylist() for c in ("dim", "cell", "part")), strict=True), b["id"].to_pylist(), b["v"].to_pylist(), strict=True):
+            if ids and (at != mark or len(ids) == rows_per):
                 yield out()
                 ids, vectors = [], []
-            key = (int(keys[i]), int(dims[i]))
-            while i < j:
-                room = rows_per - sum(map(len, ids))
-                if not room:
-                    yield out()
-                    ids, vectors, room = [], [], rows_per
-                n = min(room, j - i)
-                ids.append(b["__id"].to_numpy(zero_copy_only=False)[i : i + n])
-                vectors.append(flat[offsets[i] : offsets[i + n]])
-                i += n
-    if key is not None and ids:
+            mark = at
+            ids.append(i)
+            vectors.append(v)
+    if ids:
         yield out()
 
 
-def _packed(df: DataFrame, n: int, rows_per: int) -> DataFrame:
-    dealt = df.select(F.pmod(F.xxhash64("__id"), F.lit(n)).alias("key"), F.size("__v").alias("dim"), "__id", "__v")
-    return dealt.repartition(n, "key").sortWithinPartitions("key", "dim").mapInArrow(lambda it: _pack(rows_per, it), _PACKED)
+def _packed(celled: DataFrame, rows_per: int, name: str) -> DataFrame:
+    """Packed rows with a number each. A cell of more rows than one packed row takes is dealt to several by hash."""
+    sizes = if_small(celled.groupBy("dim", "cell").agg(F.ceil(F.count(F.lit(1)) / rows_per).cast("int").alias("parts")))
+    parts = celled.join(sizes, ["dim", "cell"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).drop("parts")
+    n = partitions(celled.sparkSession)
+    packed = parts.repartition(n, "dim", "cell", "part").sortWithinPartitions("dim", "cell", "part").mapInArrow(lambda it: _pack(2 * rows_per, it), "dim int, cell long, ids binary, vectors binary, low binary, high binary")
+    return written(packed.withColumn("number", F.monotonically_increasing_id()), name)
+
+
+def _ints(data: bytes, dim: int) -> np.ndarray:
+    return np.frombuffer(data, "<i8").reshape(-1, dim)
+
 
+def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(block, dim, vectors, boxes) to (block, shard, bound): what any query of the block finds in the shard at most.
+
+    In doubles, with more added than rounding can take off.
+    """
+    for b in batches:
+        for r in b.to_pylist():
+            queries = _ints(r["vectors"], r["dim"]).astype(np.float64)
+            low, high = (np.stack([_ints(x[c], r["dim"])[0] for x in r["boxes"]]).astype(np.float64) for c in ("low", "high"))
+            bounds = np.maximum(queries, 0) @ high.T + np.minimum(queries, 0) @ low.T
+            bounds += 1 + 1e-9 * (np.abs(queries) @ np.maximum(np.abs(low), np.abs(high)).T)
+            yield pa.RecordBatch.from_arrays([pa.array([r["block"]] * len(low), pa.int64()), pa.array([x["number"] for x in r["boxes"]], pa.int64()), pa.array(bounds.max(axis=0))], ["block", "shard", "bound"])
 
-_FOUND = "query_id long, query binary, home long, vec_id long, score long"
+
+_FOUND = "block long, place int, query_id long, vec_id long, score long"
 
 
 def _search(k: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of (shard's ids and vectors; block's ids, vectors and floors) to results."""
-    held, tree = None, None
+    """Rows sorted by (shard, part, block), a shard's own (block -1) first, to the k best of each query in each shard."""
+    tree, mark, top, as_double = None, None, 0, None
     for b in batches:
         for r in b.to_pylist():
             dim = r["dim"]
-            mark = (r["key"], dim, r["ids"])
-            if held != mark:
-                vectors = np.frombuffer(r["vectors"], np.int64).reshape(-1, dim)
-                held, tree = mark, KDTree(np.frombuffer(r["ids"], np.int64), vectors)
-                top = int(np.abs(vectors).max(initial=0))
-                as_double = None
-            queries = np.frombuffer(r["q_vectors"], np.int64).reshape(-1, dim)
-            q_ids = np.frombuffer(r["q_ids"], np.int64)
-            floors = np.frombuffer(r["q_floors"], np.float64) if r["q_floors"] else np.full(len(q_ids), -np.inf)
+            if r["block"] < 0:
+                vectors = _ints(r["vectors"], dim)
+                tree, mark, top, as_double = KDTree(np.frombuffer(r["ids"], "<i8"), vectors), (r["shard"], r["part"]), int(np.abs(vectors).max(initial=0)), None
+                continue
+            if mark != (r["shard"], r["part"]):
+                raise ValueError("a query block came without its shard")
+            queries, ids = _ints(r["vectors"], dim), np.frombuffer(r["ids"], "<i8")
+            floors = np.full(len(ids), -np.inf)
+            for x in r["floors"] or ():
+                floors[x["place"]] = x["floor"]
             wide = top * int(np.abs(queries).max(initial=0)) * dim >= 1 << 53
             if as_double is None or as_double == wide:
                 as_double = not wide
@@ -171,43 +244,12 @@ def _search(k: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             exact = queries.astype(np.float64 if as_double else object)
             bounds = tree.bounds(exact)
             rows = []
-            for i, own in enumerate(q_ids.tolist()):
-                rows += [(own, queries[i].tobytes(), r["home"], -neg, score) for score, neg in tree.search(exact[i], bounds[i], k, own, floors[i])]
+            for i in np.flatnonzero(bounds[:, 0] >= floors).tolist():
+                own = int(ids[i])
+                rows += [(r["block"], i, own, -neg, score) for score, neg in tree.search(exact[i], bounds[i], k, own, floors[i])]
             if rows:
                 c = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.binary()), pa.array(c[2], pa.int64()), pa.array(c[3], pa.int64()), pa.array(c[4], pa.int64())], ["query_id", "query", "home", "vec_id", "score"])
-
-
-def _blocks(queries: DataFrame, n: int) -> DataFrame:
-    """Query blocks (home, dim, q_ids, q_vectors, q_floors), without floors yet."""
-    packed = _packed(queries, n, BLOCK_ROWS).withColumnsRenamed({"key": "home", "ids": "q_ids", "vectors": "q_vectors"})
-    return packed.withColumn("q_floors", F.lit(None).cast("binary"))
-
-
-def _floor_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Queries with floors, sorted by (home, dim), into packed blocks."""
-    rows: list[dict] = []
-
-    def out() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array([rows[0]["home"]], pa.int64()),
-                pa.array([rows[0]["dim"]], pa.int32()),
-                pa.array([np.array([r["query_id"] for r in rows], np.int64).tobytes()], pa.binary()),
-                pa.array([b"".join(r["query"] for r in rows)], pa.binary()),
-                pa.array([np.array([-np.inf if r["floor"] is None else r["floor"] for r in rows], np.float64).tobytes()], pa.binary()),
-            ],
-            ["home", "dim", "q_ids", "q_vectors", "q_floors"],
-        )
-
-    for b in batches:
-        for r in b.to_pylist():
-            if rows and (len(rows) == BLOCK_ROWS or (rows[0]["home"], rows[0]["dim"]) != (r["home"], r["dim"])):
-                yield out()
-                rows = []
-            rows.append(r)
-    if rows:
-        yield out()
+                yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int32()), *(pa.array(x, pa.int64()) for x in c[2:])], ["block", "place", "query_id", "vec_id", "score"])
 
 
 def top_k(vectors: DataFrame, queries: Column, k: int = 5, *, id_col: str = "vec_id", vector_col: str = "embedding", scale: float = 256.0) -> DataFrame:
@@ -217,35 +259,62 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5, *, id_col: str = "vec
     vectors of one length meet. Repeated rows are candidates each; a query repeated with its vector asks once. Fewer
     than k candidates give fewer rows, an empty table none; a score beyond 64 bits fails the job. See quantised() for the vectors that take no part.
     """
-    spark = vectors.sparkSession
-    rows = quantised(vectors, id_col, vector_col, scale)
+    spark = small_batches(vectors.sparkSession)
+    rows = written(quantised(vectors, id_col, vector_col, scale), "knn-rows")
     n_rows = rows.count()
-    n = max(1, -(-n_rows // SHARD_ROWS))
-    shards = written(_packed(rows, n, 2 * SHARD_ROWS), "knn-shards")
-    asks = quantised(vectors.filter(queries), id_col, vector_col, scale).distinct()
-    home = _blocks(asks, n)
-    first = shards.join(home.withColumn("key", F.col("home")), ["key", "dim"])
-    found = written(first.mapInArrow(lambda it: _search(k, it), _FOUND), "knn-home")
-    if n > 1:
-        floors = found.groupBy("query_id", "query").agg(F.when(F.count(F.lit(1)) >= k, F.sort_array(F.collect_list("score"), False)[k - 1]).cast("double").alias("floor"))
-        unpacked = home.mapInArrow(_unpack, "home long, dim int, query_id long, query binary")
-        again = unpacked.join(floors, ["query_id", "query"], "left").repartition(n, "home").sortWithinPartitions("home", "dim").mapInArrow(_floor_blocks, "home long, dim int, q_ids binary, q_vectors binary, q_floors binary")
-        others = again.withColumn("key", F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<bigint>"))).filter("key <> home")
-        rest = shards.join(others, ["key", "dim"]).mapInArrow(lambda it: _search(k, it), _FOUND)
-        found = found.unionByName(rest)
-    best = Window.partitionBy("query_id", "query").orderBy(F.desc("score"), F.asc("vec_id"))
-    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-
-
-def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for r in b.to_pylist():
-            ids = np.frombuffer(r["q_ids"], np.int64)
-            width = 8 * r["dim"]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r["home"]] * len(ids), pa.int64()), pa.array([r["dim"]] * len(ids), pa.int32()), pa.array(ids), pa.array([r["q_vectors"][i * width : (i + 1) * width] for i in range(len(ids))], pa.binary())],
-                ["home", "dim", "query_id", "query"],
-            )
+    sample = rows.orderBy(F.xxhash64("__id"), "__id").limit(SAMPLE_ROWS).collect()  # SAMPLE_ROWS rows
+    by_dim: dict[int, list] = {}
+    for r in sample:
+        by_dim.setdefault(len(r["__v"]), []).append(r["__v"])
+    trees = {}
+    for dim, some in by_dim.items():
+        leaves = min(len(some), -(-n_rows * len(some) // (len(sample) * SHARD_ROWS)))
+        if leaves > 1 and max(abs(x) for v in some for x in v) < 1 << 62:
+            trees[dim] = split_tree(np.array(some, np.int64), leaves)
+
+    def celled(df: DataFrame) -> DataFrame:
+        return df.mapInArrow(lambda it: _celled(trees, it), "id long, dim int, cell long, v binary")
+
+    shards = _packed(celled(rows), SHARD_ROWS, "knn-shards")
+    blocks = _packed(celled(quantised(vectors.filter(queries), id_col, vector_col, scale).distinct()), BLOCK_ROWS, "knn-blocks").withColumnRenamed("number", "block")
+    n_chunks = max(1, -(-shards.count() // CHUNK_BOXES))
+    boxes = shards.select(F.pmod(F.xxhash64("number"), F.lit(n_chunks)).alias("chunk"), "dim", F.struct("number", "low", "high").alias("box"))
+    boxes = boxes.groupBy("chunk", "dim").agg(F.collect_list("box").alias("boxes"))  # about CHUNK_BOXES
+    asked = blocks.select("block", "dim", "vectors", F.explode(F.sequence(F.lit(0), F.lit(n_chunks - 1)).cast("array<bigint>")).alias("chunk"))
+    pairs = asked.join(boxes, ["chunk", "dim"]).select("block", "dim", "vectors", "boxes").mapInArrow(_bounded, "block long, shard long, bound double")
+    pairs = written(pairs.withColumn("turn", F.row_number().over(Window.partitionBy("block").orderBy(F.desc("bound"), "shard"))), "knn-pairs")
+    last = pairs.agg(F.max("turn")).first()[0] or 0
+    found, first, step = None, 1, 1
+    best = Window.partitionBy("block", "place").orderBy(F.desc("score"), F.asc("vec_id"))
+    while first <= last:
+        live = pairs.filter(F.col("turn").between(first, first + step - 1)).select("block", "shard", "bound")
+        asking = blocks.select("block", "dim", "ids", "vectors")
+        if found is None:
+            asking = asking.withColumn("floors", F.lit(None).cast("array<struct<place:int,floor:double>>"))
+        else:  # at most BLOCK_ROWS floors a block
+            kth = found.groupBy("block", "place").agg(F.min("score").alias("floor"), F.count(F.lit(1)).alias("n")).filter(F.col("n") >= k)
+            kth = kth.groupBy("block").agg(F.collect_list(F.struct("place", F.col("floor").cast("double").alias("floor"))).alias("floors"), F.min("floor").alias("least"))
+            asking = asking.join(kth, "block", "left")
+            asking = asking.withColumn("least", F.when(F.size("floors") == F.octet_length("ids") / 8, F.col("least")))
+            live = live.join(asking.select("block", "least"), "block").filter(F.col("least").isNull() | (F.col("bound") >= F.col("least"))).select("block", "shard", "bound")
+            asking = asking.drop("least")
+        live = written(live, "knn-live")
+        counts = live.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / TASK_BLOCKS).cast("int").alias("parts"))
+        dealt = live.join(counts, "shard").select("block", "shard", F.pmod(F.xxhash64("block"), F.col("parts")).cast("int").alias("part"))
+        asks = dealt.join(asking, "block").select("shard", "part", "block", "dim", "ids", "vectors", "floors")
+        own = shards.withColumnRenamed("number", "shard").join(dealt.select("shard", "part").distinct(), "shard").select("shard", "part", F.lit(-1).cast("long").alias("block"), "dim", "ids", "vectors", F.lit(None).cast("array<struct<place:int,floor:double>>").alias("floors"))
+        both = own.unionByName(asks).repartition(partitions(spark), "shard", "part").sortWithinPartitions("shard", "part", "block")
+        more = both.mapInArrow(lambda it: _search(k, it), _FOUND)
+        all_ = more if found is None else found.unionByName(more)
+        new = written(all_.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).drop("rank"), "knn-found")
+        if found is not None:
+            release(found)
+        release(live)
+        found, first, step = new, first + step, step * GROWTH
+    release(rows, pairs, shards)
+    if found is None:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    return found.select("query_id", F.row_number().over(best).alias("rank"), "vec_id", "score")
 
 
 def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
