@@ -16,7 +16,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arbordex.llm._common import if_small, partitions, table
+from arbordex.llm._common import if_small, partitions, table, unused
 
 _PART = 16.0
 _STEPS = 96
@@ -34,7 +34,7 @@ def rates(docs: DataFrame, weights: Mapping[str, float] | None = None, *, source
     None: shares follow the temperature rule, present share to the power 1 / temperature. size: rows of the mix over
     rows of the input. A null source is a source of its own (named None in weights).
     """
-    counts = docs.groupBy(docs[source_col].alias("__source")).agg(F.count(F.lit(1)).alias("__n"))
+    counts = docs.select(docs[source_col].alias("__source")).groupBy("__source").agg(F.count(F.lit(1)).alias("__n"))
     if weights is None:
         share = F.sqrt(F.col("__n").cast("double")) if temperature == 2.0 else F.pow(F.col("__n").cast("double"), F.lit(1.0 / temperature))
     else:
@@ -62,10 +62,11 @@ def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, *, id_col:
     """All columns of docs plus copy (from 0), copies and shuffle_key, in globally shuffled order.
 
     Rows with the same id and source get the same count (null ids count as the empty id); rows of an empty table,
-    or of sources with target 0, give none. Columns of docs named copy, copies or shuffle_key are replaced.
+    or of sources with target 0, give none. Columns of docs keep their values, whatever their names: where one is called
+    copy, copies or shuffle_key, the new column's name gets underscores at its end.
     """
     spark = docs.sparkSession
-    own = [c for c in docs.columns if c not in ("copy", "copies", "shuffle_key")]
+    copy, copies, shuffle_key = (unused(docs, name) for name in ("copy", "copies", "shuffle_key"))
     table_ = rates(docs, weights, source_col=source_col, temperature=temperature, size=size).withColumn(
         "__each", F.col("__rate") / F.greatest(F.lit(1.0), F.ceil(F.col("__rate") / _PART))
     )
@@ -77,19 +78,17 @@ def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, *, id_col:
 
     table_ = table_.select("__source", "__rate", F.aggregate(F.sequence(F.lit(1), F.lit(_STEPS)), state, step, lambda s: s["all"]).alias("__cdf"))
     key = F.coalesce(docs[id_col].cast("string"), F.lit(""))
-    keyed = docs.select(*[docs[c] for c in own], key.alias("__key"), F.pmod(F.xxhash64(key), F.lit(32)).cast("int").alias("__salt"))
-    table_ = table_.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(31))))  # a source of a third of all rows goes to 32 tasks
-    table_ = if_small(table_, 200_000)
-    on = keyed[source_col].eqNullSafe(table_["__source"]) & (keyed["__salt"] == table_["__salt"])
-    counted = keyed.join(table_, on).withColumn("copies", _copies(F.col("__rate"), F.col("__cdf"), seed, F.col("__key")))
-    shuffle_key = F.sha2(F.concat_ws("|", F.lit(str(seed)), F.lit("order"), F.col("__key"), F.col("copy").cast("string")), 256)
+    salts = max(32, partitions(spark))  # a source of a third of all rows goes to so many tasks
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("__row"), docs[source_col].alias("__of"), key.alias("__key"), F.pmod(F.xxhash64(key), F.lit(salts)).cast("int").alias("__salt"))
+    table_ = if_small(table_.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), 200_000)
+    counted = rows.join(table_, rows["__of"].eqNullSafe(table_["__source"]) & (rows["__salt"] == table_["__salt"])).withColumn("__copies", _copies(F.col("__rate"), F.col("__cdf"), seed, F.col("__key")))
+    order = F.sha2(F.concat_ws("|", F.lit(str(seed)), F.lit("order"), F.col("__key"), F.col("__copy").cast("string")), 256)
     return (
-        counted.filter("copies > 0")
-        .withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
-        .withColumn("shuffle_key", shuffle_key)
-        .select(*own, "copy", "copies", "shuffle_key")
-        .repartition(partitions(spark), "shuffle_key")
-        .sortWithinPartitions("shuffle_key")
+        counted.filter("__copies > 0")
+        .withColumn("__copy", F.explode(F.sequence(F.lit(0), F.col("__copies") - 1)))
+        .select("__row.*", F.col("__copy").alias(copy), F.col("__copies").alias(copies), order.alias(shuffle_key))
+        .repartition(partitions(spark), shuffle_key)
+        .sortWithinPartitions(shuffle_key)
     )
 
 
