@@ -156,7 +156,11 @@ def resolved(records: DataFrame) -> DataFrame:
     """
     narrow = written(records.select("record_id", "record_type", "payload_digest", "refers_to", F.octet_length("payload").cast("long").alias("__own")), "warc-records")
     responses = narrow.filter("record_type = 'response'").groupBy(F.col("record_id").alias("refers_to"), "payload_digest").agg(F.max("__own").alias("__of"))
-    revisits = narrow.filter("record_type = 'revisit'").join(responses, ["refers_to", "payload_digest"], "left")
+    # A payload that a third of all pages share is asked for once a run, and answers its revisits run by run.
+    runs = max(64, partitions(records.sparkSession))
+    revisits = narrow.filter("record_type = 'revisit'").withColumn("__run", F.pmod(F.xxhash64("record_id"), F.lit(runs)))
+    answers = revisits.select("__run", "refers_to", "payload_digest").distinct().join(responses, ["refers_to", "payload_digest"])
+    revisits = revisits.join(answers, ["__run", "refers_to", "payload_digest"], "left")
     columns = ["record_id", "record_type", "payload_digest", "refers_to"]
     return narrow.filter("record_type <> 'revisit'").select(*columns, F.col("__own").alias("payload_bytes")).unionByName(revisits.select(*columns, F.col("__of").alias("payload_bytes")))
 
