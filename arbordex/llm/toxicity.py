@@ -1,10 +1,11 @@
 """Toxicity by a weighted finite-state pattern grammar (operator 9).
 
 A text becomes symbols, one a word: I insult, T threat, Y target (an addressed person), N negation, R reported speech,
-w any other word; clauses end at punctuation and line ends. Three small transducers read a clause: negation marks
-insults and threats in the scope of an N, reported speech marks those after an R, and the target acceptor scores what
-is left (an insult counts more beside a target, a threat only with one). They are composed once into one machine by the
-product of their states. A document's score is the logistic of the prior log-odds plus the weights of its clauses.
+w any other word; clauses end at punctuation and line ends. Five small transducers read a clause: negation marks
+insults and threats in the scope of an N, reported speech marks those after an R, and insult, threat and target see what
+is left. They are composed once into one machine by the product of their states; what a clause ends with gives its factor
+(an insult counts more with a target, a threat only with one or beside an insult). A document's score is the logistic of
+the prior log-odds plus the weights of its clauses.
 
 The lexical transducer is an Aho-Corasick automaton over learned items. Items are words and word stems whose weight is
 their log-odds between toxic and clean documents of a bounded sample of labelled rows (MAX_TOXIC + MAX_CLEAN rows, of
@@ -12,7 +13,10 @@ the training fold, those of the smallest hash). An item's support counts distinc
 after), not documents, so that words of one much-copied document don't look like insults; its log-odds must be high
 after twice their standard error is taken off, so that chance alone makes none. "stem+" is a stem that tells only from
 its second distinct word in a text on (a stem that clean texts use too, but seldom twice). Generic seed words take part with a
-prior weight until the sample tells against them.
+prior weight until the sample tells against them. An item that targets nearly always follow is a threat, any other an insult.
+The other symbols are learned from the same rows: of the clauses with an item, those with some word just before the item
+(before it at all; anywhere) may be toxic surely less (less; more) often than such clauses are as a rule: then that word is
+a negation (a report; a target), beside the function words at hand.
 """
 
 from __future__ import annotations
@@ -23,17 +27,17 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arbordex.llm._common import table
+from arbordex.llm._common import release, small_batches, table, written
 
 MAX_TOXIC = 4000
 MAX_CLEAN = 12000
-MAX_ITEMS = 2000
 #: Least log-odds, less twice their standard error, of a learned item.
 SURE = 2.2
 #: Items that a task counts before it hands them on.
@@ -46,7 +50,12 @@ THREATS = "kill murder strangle shoot stab hurt destroy slaughter lynch".split()
 TARGETS = "you your yours yourself he she they them him her his their u ur du dich dein sie tu te toi vous ton ta usted ustedes".split()
 NEGATIONS = "not no never nobody isn't aren't wasn't don't doesn't didn't won't cannot can't without nicht kein keine nie ne pas jamais nunca jamás".split()
 REPORTS = "said says say saying wrote writes claimed claims quoted reported called sagte schrieb dit dijo".split()
+ROLES = dict.fromkeys(REPORTS, "R") | dict.fromkeys(NEGATIONS, "N") | dict.fromkeys(TARGETS, "Y")
 SEED_WEIGHT = 2.5
+#: Least shift of the log-odds, beyond twice its standard error, by which a word is a negation, a report or a target.
+SHIFT = 1.0
+#: Share of an item's toxic documents in which a target follows within two words, from which it is a threat.
+FOLLOWED = 0.8
 
 _WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
 _CLAUSE = re.compile(r"[.!?;:\n\r]")
@@ -57,10 +66,13 @@ _CLAUSE = re.compile(r"[.!?;:\n\r]")
 
 @dataclass(frozen=True)
 class Fst:
-    """A deterministic transducer: step[state][symbol] = (next state, output symbol, weight); start state 0."""
+    """A deterministic transducer: step[state][symbol] = (next state, output symbol, weight); start state 0.
+
+    final[state]: what a clause that ends there holds.
+    """
 
     step: tuple[dict[str, tuple[int, str, float]], ...]
-    final: tuple[float, ...]
+    final: tuple[frozenset[str], ...]
 
 
 def negation(scope: int = 3, factor: float = 0.5) -> Fst:
@@ -71,21 +83,34 @@ def negation(scope: int = 3, factor: float = 0.5) -> Fst:
         row = {s: (after, s, 1.0) for s in "wYR"} | {"N": (scope, "N", 1.0)}
         row |= {s: (after, s.lower() if left else s, factor if left else 1.0) for s in "IT"}
         steps.append(row)
-    return Fst(tuple(steps), (1.0,) * (scope + 1))
+    return Fst(tuple(steps), (frozenset(),) * (scope + 1))
 
 
 def reported(factor: float = 0.6) -> Fst:
     """R turns the rest of the clause into reported speech, where everything weighs `factor`."""
-    return Fst(tuple({s: (1 if s == "R" or inside else 0, s, factor if inside and s in "ITit" else 1.0) for s in "wYNRITit"} for inside in (0, 1)), (1.0, 1.0))
+    return Fst(tuple({s: (1 if s == "R" or inside else 0, s, factor if inside and s in "ITit" else 1.0) for s in "wYNRITit"} for inside in (0, 1)), (frozenset(), frozenset()))
+
+
+def _holds(name: str, symbols: str) -> Fst:
+    """Lets all symbols pass and remembers whether one of `symbols` did."""
+    return Fst(tuple({s: (1 if seen or s in symbols else 0, s, 1.0) for s in "wYNRITit"} for seen in (0, 1)), (frozenset(), frozenset([name])))
+
+
+def insult() -> Fst:
+    return _holds("insult", "Ii")
+
+
+def threat() -> Fst:
+    return _holds("threat", "Tt")
 
 
-def target(near: float = 1.25) -> Fst:
-    """State: bit 0 target seen, bit 1 insult seen, bit 2 threat seen. The final weight is the clause's factor."""
-    steps, final = [], []
-    for state in range(8):
-        steps.append({s: (state, s, 0.0) for s in "wNR"} | {"Y": (state | 1, "Y", 0.0)} | {s: (state | 2, s, 1.0) for s in "Ii"} | {s: (state | 4, s, 1.0) for s in "Tt"})
-        final.append(near if state & 1 else 0.0 if state == 4 else 1.0)
-    return Fst(tuple(steps), tuple(final))
+def target() -> Fst:
+    return _holds("target", "Y")
+
+
+def factor_of(held: frozenset[str], near: float = 1.25) -> float:
+    """The factor of a clause's weights: threats without a target or an insult count nothing."""
+    return near if "target" in held else 0.0 if held == {"threat"} else 1.0
 
 
 def compose(a: Fst, b: Fst) -> Fst:
@@ -100,19 +125,20 @@ def compose(a: Fst, b: Fst) -> Fst:
                 order.append((p2, q2))
             row[symbol] = (numbers[p2, q2], out2, w * w2)
         steps.append(row)
-    return Fst(tuple(steps), tuple(a.final[p] * b.final[q] for p, q in order))
+    return Fst(tuple(steps), tuple(a.final[p] | b.final[q] for p, q in order))
 
 
-GRAMMAR = compose(compose(negation(), reported()), target())
+GRAMMAR = reduce(compose, (negation(), reported(), insult(), threat(), target()))
+_FACTORS = tuple(map(factor_of, GRAMMAR.final))
 
 
-def clause_weight(symbols: list[tuple[str, float]], machine: Fst = GRAMMAR) -> float:
+def clause_weight(symbols: list[tuple[str, float]]) -> float:
     """The weight of a clause of (symbol, lexical weight)."""
     state, total = 0, 0.0
     for symbol, weight in symbols:
-        state, _, factor = machine.step[state][symbol]
+        state, _, factor = GRAMMAR.step[state][symbol]
         total += factor * weight
-    return total * machine.final[state]
+    return total * _FACTORS[state]
 
 
 # --- lexicon -----------------------------------------------------------------------------------------------------
@@ -120,17 +146,18 @@ def clause_weight(symbols: list[tuple[str, float]], machine: Fst = GRAMMAR) -> f
 
 @dataclass
 class Grammar:
-    """Learned items ('stem' or 'word$' to symbol and weight) and the prior log-odds."""
+    """Learned items ('stem' or 'word$' to symbol and weight), the prior log-odds, and other words' symbols (Y, N, R)."""
 
     prior: float
     items: dict[str, tuple[str, float]]
+    roles: dict[str, str] = field(default_factory=lambda: dict(ROLES))
     _automaton: object = field(default=None, repr=False)
 
     def __getstate__(self) -> tuple:
-        return self.prior, self.items
+        return self.prior, self.items, self.roles
 
     def __setstate__(self, state: tuple) -> None:
-        self.prior, self.items = state
+        self.prior, self.items, self.roles = state
         self._automaton = None
 
     def automaton(self) -> object:
@@ -158,10 +185,10 @@ class Grammar:
                         found = hit
         if found is not None:
             return found
-        return ("Y", 0.0) if word in _TARGETS else ("N", 0.0) if word in _NEGATIONS else ("R", 0.0) if word in _REPORTS else ("w", 0.0)
+        return self.roles.get(word, "w"), 0.0
 
-    def clauses(self, text: str) -> Iterator[tuple[int, int, float]]:
-        """(start, end, weight) of each clause with a lexical item; only these are parsed."""
+    def parsed(self, text: str) -> Iterator[tuple[int, int, list[str], list[tuple[str, float]]]]:
+        """(start, end, words, symbols) of each clause with a lexical item; no other is looked at word by word."""
         if not self.items or not text:
             return
         low = text.lower()
@@ -171,12 +198,17 @@ class Grammar:
             at = last - n + 1
             if at < done or (at and low[at - 1].isalpha()):
                 continue
-            start = max((low.rfind(c, 0, at) for c in ".!?;:\n\r"), default=-1) + 1
+            start = max((low.rfind(c, max(done, 0), at) for c in ".!?;:\n\r"), default=-1) + 1
             end = m.start() if (m := _CLAUSE.search(low, at)) else len(low)
             start = max(start, done)
-            weight = clause_weight([self.symbol(w, seen) for w in _WORD.findall(low[start:end])])
+            words = _WORD.findall(low[start:end])
             done = end
-            if weight:
+            yield start, end, words, [self.symbol(w, seen) for w in words]
+
+    def clauses(self, text: str) -> Iterator[tuple[int, int, float]]:
+        """(start, end, weight) of each clause that weighs something."""
+        for start, end, _, symbols in self.parsed(text):
+            if weight := clause_weight(symbols):
                 yield start, end, weight
 
     def score(self, text: str) -> float:
@@ -184,9 +216,6 @@ class Grammar:
         return 1 / (1 + math.exp(-max(-50.0, min(50.0, z))))
 
 
-_TARGETS, _NEGATIONS, _REPORTS = frozenset(TARGETS), frozenset(NEGATIONS), frozenset(REPORTS)
-
-
 def _features(words: list[str]) -> dict[str, tuple[str, str]]:
     """Items of a text, with the neighbourhoods of their first mention as far as _contexts() doesn't take them all."""
     found: dict[str, tuple[str, str]] = {}
@@ -239,6 +268,68 @@ def _present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
+def _roles(grammar: Grammar, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(word, role, clean, toxic): in how many documents a word stands so in a clause with an item.
+
+    Roles: N within three words before an item, R before one, Y anywhere; for items (as the words that they are) '>' with a
+    target within two words after and '=' at all. The empty word is for all documents with an item.
+    """
+    seen: tuple[Counter, Counter] = (Counter(), Counter())
+
+    def out() -> pa.RecordBatch:
+        rows = list(seen[0].keys() | seen[1].keys())
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), *(pa.array([c[x] for x in rows], pa.int64()) for c in seen)], ["word", "role", "clean", "toxic"])
+
+    for b in batches:
+        for text, toxic in zip(b["__text"].to_pylist(), b["__toxic"].to_pylist(), strict=True):
+            found: set[tuple[str, str]] = set()
+            for _, _, words, symbols in grammar.parsed(text or ""):
+                items = [i for i, (s, _) in enumerate(symbols) if s in "IT"]
+                if not items:
+                    continue
+                found.add(("", ""))
+                for i, (w, (s, _)) in enumerate(zip(words, symbols, strict=True)):
+                    if s in "IT":
+                        found.add((w, "="))
+                        if any(x == "Y" for x, _ in symbols[i + 1 : i + 3]):
+                            found.add((w, ">"))
+                    elif s == "w":
+                        found.add((w, "Y"))
+                        if i < items[-1]:
+                            found.add((w, "R"))
+                            if any(i < j <= i + 3 for j in items):
+                                found.add((w, "N"))
+            seen[toxic].update(found)
+            if len(seen[0]) + len(seen[1]) > FLUSH_ITEMS:
+                yield out()
+                seen = (Counter(), Counter())
+    if seen[0] or seen[1]:
+        yield out()
+
+
+def _with_roles(grammar: Grammar, texts: DataFrame) -> Grammar:
+    """The grammar with symbols of other words, and threats among its items, learned from labelled texts."""
+    counts = texts.select("__text", "__toxic").mapInArrow(lambda it: _roles(grammar, it), "word string, role string, clean long, toxic long")
+    counts = written(counts.groupBy("word", "role").agg(F.sum("clean").alias("c"), F.sum("toxic").alias("t")), "roles")
+    base = counts.filter("role = ''").first()
+    if base is None:
+        release(counts)
+        return grammar
+    shift = F.log((F.col("t") + 0.5) / (F.col("c") + 0.5)) - math.log((base["t"] + 0.5) / (base["c"] + 0.5))
+    doubt = 2 * F.sqrt(1 / (F.col("t") + 0.5) + 1 / (F.col("c") + 0.5))
+    telling = F.when(F.col("role") == "Y", shift - doubt > SHIFT).when(F.col("role").isin("N", "R"), shift + doubt < -SHIFT)
+    followed = F.col("role").isin("=", ">") & (F.col("t") >= 5)  # of items only
+    got = counts.filter(telling | followed).collect()
+    release(counts)
+    roles = dict(grammar.roles)
+    for role in "YRN":  # a word that is telling in several ways is what it is most narrowly
+        roles |= {r["word"]: role for r in got if r["role"] == role and r["word"] not in ROLES}
+    times = {(r["word"], r["role"]): r["t"] for r in got}
+    threats = {w for (w, role), n in times.items() if role == "=" and times.get((w, ">"), 0) >= FOLLOWED * n}
+    items = {k: ("T" if k[-1] == "$" and k[:-1] in threats else s, w) for k, (s, w) in grammar.items.items()}
+    return Grammar(grammar.prior, items, roles)
+
+
 def training_fold(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Rows whose crc32 of the id as text is not divisible by 5; null ids are left out."""
     return labels.filter(labels[id_col].isNotNull() & (F.crc32(labels[id_col].cast("string").cast("binary")) % 5 != 0))
@@ -249,6 +340,7 @@ def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
 
     Null labels don't count; of repeated labels of a document the largest counts; a null text is empty.
     """
+    small_batches(docs.sparkSession)
     rows = training_fold(labels, id_col).filter(labels[label_col].isNotNull()).groupBy(labels[id_col].alias("__doc")).agg((F.max(label_col) > 0).cast("int").alias("__toxic"))
     order = F.xxhash64("__doc")
     sample = rows.filter("__toxic = 1").orderBy(order, "__doc").limit(MAX_TOXIC).unionByName(rows.filter("__toxic = 0").orderBy(order, "__doc").limit(MAX_CLEAN))
@@ -278,13 +370,12 @@ def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
         if any(stem.startswith(x.rstrip("$+")) or x.startswith(stem) for x in items):
             continue
         items[w] = ("I", odds[w])
-        if len(items) == MAX_ITEMS:
-            break
     for w, (symbol, weight) in seeds.items():
         clean, toxic = seen[w]
         if w not in items and odds[w] > 0 and clean <= 1 + 0.02 * n_clean and not any(w.startswith(x) for x in items if not x.endswith("$")):
             items[w] = (symbol, min(odds[w], 6.0) if toxic + clean else weight)
-    return Grammar(math.log((n_toxic + 0.5) / (n_clean + 0.5)) if n_toxic < MAX_TOXIC and n_clean < MAX_CLEAN else _prior(rows), items)
+    prior = math.log((n_toxic + 0.5) / (n_clean + 0.5)) if n_toxic < MAX_TOXIC and n_clean < MAX_CLEAN else _prior(rows)
+    return _with_roles(Grammar(prior, items), texts)
 
 
 def _prior(rows: DataFrame) -> float:
@@ -308,6 +399,7 @@ def score(docs: DataFrame, grammar: Grammar, *, id_col: str = "doc_id", text_col
     Null and empty texts have no clause and get the prior's score. Nothing but the text enters a score. Null ids and
     repeated rows give a row each; an empty table gives none.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(docs[id_col].alias("__id"), docs[text_col].alias("__text"))
     kind = docs.schema[id_col].dataType.simpleString()
     return rows.mapInArrow(lambda it: _scored(grammar, it), f"__id {kind}, score double, clauses array<struct<start: bigint, end: bigint, weight: double>>").withColumnRenamed("__id", id_col)
@@ -316,6 +408,7 @@ def score(docs: DataFrame, grammar: Grammar, *, id_col: str = "doc_id", text_col
 def reject(docs: DataFrame, grammar: Grammar, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """docs without the rows whose text scores the threshold or more; all columns and repeated rows stay as they are."""
     schema = docs.schema
+    small_batches(docs.sparkSession)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = schema.names.index(text_col)
