@@ -7,7 +7,8 @@ expected grade and the tail probability P(grade >= keep_grade) by which document
 
 Features are hashed in numpy over whole texts: words, word shapes (runs of character classes, so that "THE!!" and
 "TION!!" are alike), repeats of the word before, and the length. The model is fitted on the driver by AdaGrad on a
-bounded sample: at most MAX_ROWS labelled rows of the training fold, those of the smallest hash of the id.
+bounded sample: at most MAX_ROWS labelled rows of the training fold, those of the smallest hash of the id, with at most
+MAX_FEATURES features of each.
 """
 
 from __future__ import annotations
@@ -21,9 +22,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arbordex.llm import _hashing as H
-from arbordex.llm._common import table
+from arbordex.llm._common import small_batches, table
 
 MAX_ROWS = 6000
+#: Features of a row that are fitted: those of the largest values. With MAX_ROWS, a bound of what the driver gathers (8 bytes each).
+MAX_FEATURES = 4096
 BITS = 16
 EPOCHS = 12
 GRADES = 3
@@ -49,6 +52,7 @@ def features(column: pa.Array, bits: int = BITS) -> tuple[np.ndarray, np.ndarray
     shape = H.span_hash(H.prefix_hash(kind[change]), at[start], at[end])
     again = np.zeros(len(word), dtype=bool)
     again[1:] = word[1:] == word[:-1]
+    again[first[:-1][first[:-1] < len(word)]] = False  # not across documents
     salts = [np.uint64(11), np.uint64(22), np.uint64(33), np.uint64(44)]
     cols, vals, sizes = [], [], []
     mask = np.uint64((1 << bits) - 1)
@@ -119,7 +123,10 @@ def fit(cols: np.ndarray, vals: np.ndarray, offsets: np.ndarray, grades: np.ndar
 def _packed_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         cols, vals, offsets = features(b["__text"])
-        rows = [(g, cols[i:j].astype(np.int32).tobytes(), vals[i:j].astype(np.float32).tobytes()) for g, i, j in zip(b["__grade"].to_pylist(), offsets[:-1], offsets[1:], strict=True)]
+        rows = []
+        for g, i, j in zip(b["__grade"].to_pylist(), offsets[:-1], offsets[1:], strict=True):
+            some = np.sort(np.lexsort((cols[i:j], -vals[i:j]))[:MAX_FEATURES]) + i
+            rows.append((g, cols[some].astype(np.int32).tobytes(), vals[some].astype(np.float32).tobytes()))
         if rows:
             g, c, v = zip(*rows, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(g, pa.int32()), pa.array(c, pa.binary()), pa.array(v, pa.binary())], ["grade", "cols", "vals"])
@@ -131,12 +138,13 @@ def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     A row with quality null or id null doesn't count; toxic null counts as 0; of repeated labels the lowest grade
     counts. Without any labelled row, every document gets the same neutral score.
     """
+    small_batches(docs.sparkSession)
     grade = F.when(F.col("quality") <= 0, 0).when(F.coalesce(F.col("toxic"), F.lit(0)) > 0, 1).otherwise(2)
     fold = labels.filter(labels[id_col].isNotNull() & F.col("quality").isNotNull() & (F.crc32(labels[id_col].cast("string").cast("binary")) % 5 != 0))
     rows = fold.groupBy(labels[id_col].alias("__doc")).agg(F.min(grade).cast("int").alias("__grade"))
     sample = rows.orderBy(F.xxhash64("__doc"), "__doc").limit(MAX_ROWS)
     texts = docs.select(docs[id_col].alias("__doc"), docs[text_col].alias("__text")).join(F.broadcast(sample), "__doc")  # MAX_ROWS rows
-    got = texts.select("__text", "__grade").mapInArrow(_packed_features, "grade int, cols binary, vals binary").collect()  # MAX_ROWS rows, a few kB each
+    got = texts.select("__text", "__grade").mapInArrow(_packed_features, "grade int, cols binary, vals binary").collect()  # MAX_ROWS rows of at most 8 * MAX_FEATURES bytes
     if not got:
         return Ordinal(np.zeros(1 << BITS), np.arange(GRADES - 1, dtype=float) - 1)
     got.sort(key=lambda r: (r["grade"], bytes(r["cols"]), bytes(r["vals"])))  # the order of tasks doesn't matter
@@ -162,6 +170,7 @@ def score(docs: DataFrame, model: Ordinal, *, id_col: str = "doc_id", text_col:
                 tail = np.ones(part.num_rows) if keep_grade <= 0 else tails[:, keep_grade - 1]
                 yield pa.RecordBatch.from_arrays([part["__id"], pa.array(tails.sum(axis=1)), pa.array(tail), pa.array(tail >= threshold)], ["__id", "expected_grade", "tail", "kept"])
 
+    small_batches(docs.sparkSession)
     rows = docs.select(docs[id_col].alias("__id"), docs[text_col].alias("__text"))
     kind = docs.schema[id_col].dataType.simpleString()
     return rows.mapInArrow(scored, f"__id {kind}, expected_grade double, tail double, kept boolean").withColumnRenamed("__id", id_col)
