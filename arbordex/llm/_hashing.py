@@ -6,7 +6,6 @@ Everything here works on one Arrow batch at a time: memory is a small multiple o
 from __future__ import annotations
 
 import ctypes
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -170,37 +169,15 @@ def words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return start, end, np.searchsorted(start, offsets)
 
 
-_WORDS: dict[bytes, int] = {}
-
-
-def word_codes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
-    """A number for every word, equal for equal bytes only, and the words by number (no hash decides)."""
+def word_codes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A number for every word, equal for equal bytes only (no hash decides)."""
     solid = np.zeros(len(raw) + 1, dtype=np.int8)
     solid[start] = 1
     solid[end] -= 1
     data = raw[np.cumsum(solid[:-1]).astype(bool)]
     at = np.concatenate(([0], np.cumsum(end - start))).astype(np.int64)
     column = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(at.tobytes()), pa.py_buffer(data.tobytes())])
-    coded = column.dictionary_encode()
-    return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary.to_pylist()
-
-
-def word_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64 bits of BLAKE2b of every word: no two words are known to collide, nor can such be constructed."""
-    if not len(start):
-        return np.zeros(0, np.uint64)
-    codes, names = word_codes(raw, start, end)
-    if len(_WORDS) > 100_000:
-        _WORDS.clear()
-    values = np.empty(len(names), np.uint64)
-    for i, name in enumerate(names):
-        value = _WORDS.get(name)
-        if value is None:
-            value = int.from_bytes(hashlib.blake2b(name, digest_size=8).digest(), "little")
-            if len(name) < 32:
-                _WORDS[name] = value
-        values[i] = value
-    return values[codes]
+    return column.dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
 
 
 def exact_shingles(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -213,7 +190,7 @@ def exact_shingles(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarr
     start, end, first = words(raw, np.concatenate(([0], np.cumsum(sizes))).astype(np.int64))
     if not len(start):
         return np.zeros(0, np.int64), np.zeros(len(texts) + 1, np.int64)
-    codes = word_codes(raw, start, end)[0] + 1
+    codes = word_codes(raw, start, end) + 1
     n_words = np.diff(first)
     doc = np.repeat(np.arange(len(texts)), n_words)
     place = np.arange(len(codes)) - first[doc]
@@ -238,7 +215,7 @@ def shingles(column: pa.Array, width: int = 3) -> tuple[np.ndarray, np.ndarray]:
     raw, offsets = text_bytes(column)
     raw = LOWER_AZ[raw]
     start, end, first = words(raw, offsets)
-    w = word_hashes(raw, start, end)
+    w = field_span(field_prefix(raw), start, end)
     n_words = np.diff(first)
     if len(w) >= width:
         s = np.zeros(len(w) - width + 1, dtype=np.uint64)
