@@ -7,8 +7,11 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
+from arbordex.llm import _hashing as H
 from arbordex.llm import exact_dedup, jaccard, knn, mixing, packing, quality, registry, secrets, substrings, toxicity, warc
 from arbordex.llm._common import fresh_path
 
@@ -48,6 +51,8 @@ def test_exact_edges(spark):
     kept = exact_dedup.deduplicate(docs_of(spark, EDGE))
     assert sorted(r[0] for r in kept.collect()) == [1, 3, 4, 6, 7, 8, 10] and kept.columns == docs_of(spark, EDGE).columns
     assert exact_dedup.duplicates(docs_of(spark, [])).count() == 0
+    clash = spark.createDataFrame([(1, "a", "s", 1, 5), (2, "A", "s", 2, 6), (3, "b", "t", 3, 7)], "doc_id long, text string, __sha256 string, __row int, __id int")
+    assert sorted(map(tuple, exact_dedup.deduplicate(clash).collect())) == [(1, "a", "s", 1, 5), (3, "b", "t", 3, 7)]
     only = exact_dedup.deduplicate(docs_of(spark, [(None, "a"), (None, "A")]))
     assert only.count() == 1
     with pytest.raises(ValueError):
@@ -141,10 +146,16 @@ def test_jaccard_brute_force(spark, texts, width, num, den):
 
 
 def test_jaccard_blocks_and_hot_groups(spark, monkeypatch):
-    monkeypatch.setattr(jaccard, "BLOCK_NODES", 16)
+    for name, value in (("LEAST_BLOCK", 8), ("MOST_BLOCK", 16), ("HOT", 8)):
+        monkeypatch.setattr(jaccard, name, value)
     rng = np.random.default_rng(4)
     base = " ".join(f"v{x}" for x in range(120))
     rows = [(i, mutated(rng, base, 1)) for i in range(100)] + [(1000 + i, base) for i in range(50)]
+    for c in range(3):  # chains, whose ends aren't linked, and a passage that they share
+        text = " ".join(f"{'abc'[c]}{x}" for x in range(60)) + " " + " ".join(f"p{x}" for x in range(40))
+        for i in range(60):
+            rows.append((2000 + 100 * c + i, text))
+            text = mutated(rng, text, 1)
     got = Counter(tuple(r)[:4] for r in jaccard.jaccard_groups(docs_of(spark, rows), width=3, num=90, den=100).select("doc_id", "n_shingles", "component_id", "n_links").collect())
     assert got == brute_components(rows, 3, 90, 100)
 
@@ -172,12 +183,38 @@ def test_jaccard_keep_one_without_usable_ids(spark):
 
 def test_parity_sketch_is_a_lower_bound():
     rng = np.random.default_rng(1)
+    bands = jaccard.Bands(80, 100)
     for _ in range(50):
-        a, b = (np.unique(rng.integers(0, 300, 200).astype(np.uint64)) for _ in "ab")
-        d = int(np.bitwise_count(jaccard.sketch(a, 20) ^ jaccard.sketch(b, 20)).sum())
+        a, b = (np.unique(rng.integers(0, 300, n).astype(np.uint64)) for n in rng.integers(20, 400, 2))
+        data, cuts = jaccard.sketches(np.concatenate((a, b)), np.array([0, len(a), len(a) + len(b)]), bands)
+        both = [data[i:j] for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
+        d = int(jaccard._hamming(*(jaccard.fold(x, min(map(len, both))) for x in both)))
         assert d <= len(np.setxor1d(a, b)) and (d - len(np.setxor1d(a, b))) % 2 == 0
 
 
+@pytest.mark.parametrize("num", [50, 80, 90])
+def test_keys_of_similar_sets_meet(num):
+    rng = np.random.default_rng(num)
+    bands = jaccard.Bands(num, 100)
+    for _ in range(2000):
+        a = np.unique(rng.integers(0, 1 << 63, rng.integers(1, 80), dtype=np.uint64))
+        union = np.unique(np.concatenate((a, rng.integers(0, 1 << 63, rng.integers(0, 1 + len(a) // 4), dtype=np.uint64))))
+        b = union[rng.random(len(union)) > rng.choice([0.02, 0.1, 0.2])]
+        if not len(b) or len(b) == len(a) == len(np.intersect1d(a, b)) or len(np.intersect1d(a, b)) * 100 < num * len(np.union1d(a, b)):
+            continue
+        key, doc = jaccard.keys(np.concatenate((a, b)), np.array([0, len(a), len(a) + len(b)]), bands)
+        assert np.intersect1d(key[doc == 0], key[doc == 1]).size
+
+
+def test_jaccard_tells_colliding_words_apart(spark):
+    word, other = "a", "b"
+    for _ in range(10):  # polynomial hashes modulo a power of two can't tell these from one another
+        word, other = word + other, other + word
+    rows = [(1, word), (2, other), (3, word.upper())]
+    got = {r[0]: r["component_id"] for r in jaccard.jaccard_groups(docs_of(spark, rows), width=3, num=90, den=100).collect()}
+    assert got == {1: 1, 2: 2, 3: 1}
+
+
 # --- suffix-array dedup ------------------------------------------------------------------------------------------
 
 
@@ -212,11 +249,13 @@ def test_substrings_brute_force(spark, texts, least):
     assert cut_rows(substrings.remove_repeats(docs_of(spark, rows), least=least)) == brute_removed(rows, least)
 
 
-def test_substrings_hot_classes_and_empty(spark, monkeypatch):
-    monkeypatch.setattr(substrings, "HOT_CHUNKS", 3)
+@pytest.mark.parametrize("part", [3, 1024])
+def test_substrings_split_classes_and_empty(spark, monkeypatch, part):
+    monkeypatch.setattr(substrings, "PART_CHUNKS", part)
     rng = np.random.default_rng(6)
     passage = "".join(rng.choice(list("abcdefgh"), 500))
     rows = [(i, "".join(rng.choice(list("xyz"), 60)) + passage[: 440 + i] + "".join(rng.choice(list("uvw"), 60))) for i in range(12)]
+    rows += [(100 + i, rows[i][1]) for i in range(4)] + [(200 + i, "b" * 450) for i in range(2)]
     assert cut_rows(substrings.remove_repeats(docs_of(spark, rows))) == brute_removed(rows, 400)
     assert substrings.remove_repeats(docs_of(spark, [])).count() == 0
 
@@ -224,8 +263,27 @@ def test_substrings_hot_classes_and_empty(spark, monkeypatch):
 def test_transforms_merge_like_a_sort():
     rng = np.random.default_rng(7)
     x = rng.integers(0, 4, (300, 3)).astype(np.uint64)
-    counts = Counter(map(tuple, x.tolist()))
-    assert substrings.repeated_strings(x, 37).tolist() == [counts[tuple(r)] > 1 for r in x.tolist()]
+    weight = rng.integers(1, 3, 300)
+    counts = Counter()
+    for r, w in zip(map(tuple, x.tolist()), weight.tolist(), strict=True):
+        counts[r] += w
+    assert substrings.repeated_strings(x, weight, 37).tolist() == [counts[tuple(r)] > 1 for r in x.tolist()]
+    at = substrings.intervals(x, 41)
+    assert len(set(zip(at.tolist(), map(tuple, x.tolist()), strict=True))) == len(counts) == len(set(at.tolist()))
+    # Common prefixes of the merge are those of all rotations, sorted.
+    strings = np.concatenate((x.astype(np.int64) + 1, np.zeros((300, 1), np.int64)), axis=1)
+    turned = sorted(tuple(np.roll(r, -j).tolist()) for r in strings for j in range(4))
+    want = [0] + [next((i for i in range(4) if a[i] != b[i]), 4) for a, b in zip(turned[:-1], turned[1:], strict=True)]
+    shard, prefix = substrings.merge_transforms([substrings._transform(strings[i : i + 37])[0] for i in range(0, 300, 37)], 4)
+    assert prefix.tolist() == want and np.bincount(shard).tolist() == [148] * 8 + [16]
+
+
+def test_field_hash_tells_constructed_texts_apart():
+    one, two = b"a", b"b"
+    for _ in range(12):
+        one, two = one + two, two + one
+    spans = [H.field_span(H.field_prefix(np.frombuffer(x + y, np.uint8)), np.array([0, len(x)]), np.array([len(x), len(x) + len(y)])) for x, y in ((one, two), (two, one))]
+    assert spans[0][0] != spans[0][1] and spans[0][0] == spans[1][1] and spans[0][1] == spans[1][0]
 
 
 # --- quality and toxicity ----------------------------------------------------------------------------------------
@@ -283,6 +341,66 @@ def test_grammar():
     assert score("She said you are an idiot.") < score("You are an idiot.")
     a = toxicity.compose(toxicity.negation(), toxicity.reported())
     assert len(a.step) > 1 and all(set(row) == set("wYNRIT") for row in a.step)
+    assert score("kill the idiot") > score("idiot") and len(toxicity.GRAMMAR.step) > len(a.step)
+
+
+def test_grammar_brute_force():
+    """The composed machine against a reading of the rules, clause by clause."""
+    rng = np.random.default_rng(21)
+    items = {"idiot$": ("I", 3.0), "kill$": ("T", 2.0), "moro": ("I", 1.5)}
+    g = toxicity.Grammar(-2.0, items)
+    words = ["idiot", "kill", "moron", "moroso", "you", "they", "not", "never", "said", "the", "tree", "été"]
+
+    def weight(clause):
+        total, held, scope, inside = 0.0, set(), 0, False
+        for w in clause:
+            kind, value = items.get(w + "$") or (items["moro"] if w.startswith("moro") else (toxicity.ROLES.get(w, "w"), 0.0))
+            total += value * (0.5 if scope and kind in "IT" else 1) * (0.6 if inside and kind in "IT" else 1)
+            held.add(kind)
+            scope, inside = 3 if kind == "N" else max(0, scope - 1), inside or kind == "R"
+        return 0.0 if "T" in held and not held & {"I", "Y"} else total * (1.25 if "Y" in held else 1)
+
+    for _ in range(300):
+        clauses = [list(rng.choice(words, rng.integers(0, 8))) for _ in range(rng.integers(1, 4))]
+        text = "".join(" ".join(c).upper() + str(rng.choice([". ", "!\n", "; "])) for c in clauses)
+        z = -2.0 + sum(map(weight, clauses))
+        assert abs(g.score(text) - 1 / (1 + np.exp(-z))) < 1e-12, text
+
+
+def test_long_texts_are_parsed_once():
+    g = toxicity.Grammar(-2.0, {"idiot$": ("I", 3.0)})
+    text = "idiot tree " * 40_000
+    assert len(list(g.clauses(text))) == 1 and len(list(g.clauses(text.replace("tree", "tree.")))) == 40_000
+
+
+def test_toxicity_learns_roles(spark):
+    rng = np.random.default_rng(9)
+    common = [f"{a}{b}lo" for a in "bdfgk" for b in "aeiou"]
+    rows = []
+    for i in range(900):
+        more = f". {common[i % 25]} zwurx {common[i % 7]}" if i < 100 else f". {common[i % 25]} grel zwurx" if i < 120 else f". krusk you {common[i % 9]}" if i < 180 else ""
+        rows.append((i, " ".join(rng.permutation(common)) + " you" + more))
+    labels = spark.createDataFrame([(i, int(i < 100 or 120 <= i < 180)) for i, _ in rows], "doc_id long, toxic int")
+    g = toxicity.learn(docs_of(spark, rows), labels)
+    assert g.roles.get("grel") == "N" and g.roles["not"] == "N" and g.score("grel zwurx") < g.score("balo zwurx")
+    kinds = {k.rstrip("$+"): s for k, (s, _) in g.items.items()}
+    assert kinds.get("zwurx") == "I" and (kinds.get("krusk") == "T" or "krusk" not in kinds)
+
+
+def test_ordinal_brute_force(spark):
+    """Scores of a fixed model against features counted word by word."""
+    rng = np.random.default_rng(2)
+    model = quality.Ordinal(rng.normal(0, 1, 1 << quality.BITS), np.array([-0.5, 0.7]))
+    rows = [(1, "one two two"), (2, ""), (3, None), (4, " ".join(rng.choice(["a", "bé", "C!!", "42"], 3000))), (4, "x"), (None, "x y")]
+    got = Counter((r["doc_id"], round(r["expected_grade"], 9), round(r["tail"], 9), r["kept"]) for r in quality.score(docs_of(spark, rows), model).collect())
+    want = Counter()
+    for i, text in rows:
+        cols, vals, offsets = quality.features(pa.array([text], pa.string()))
+        assert offsets.tolist() == [0, len(cols)]
+        z = sum(float(model.weights[c]) * float(v) for c, v in zip(cols, vals, strict=True))
+        tails = [1 / (1 + np.exp(-(z - t))) for t in model.thresholds]
+        want[i, round(sum(tails), 9), round(tails[0], 9), bool(tails[0] >= 0.5)] += 1
+    assert got == want
 
 
 def test_models_on_edges(spark):
@@ -309,6 +427,15 @@ def test_ordinal_thresholds_rise():
 # --- mixing ------------------------------------------------------------------------------------------------------
 
 
+def test_mixing_keeps_columns_of_its_own_names(spark):
+    rows = [(i, "a" if i % 3 else "b", i + 1, i + 2, i + 3, "k", 0.5) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, __salt long, __key long, copies long, shuffle_key string, __cdf double")
+    out = mixing.mix(df)
+    assert out.columns == [*df.columns, "copy", "copies_", "shuffle_key_"]
+    got = out.collect()
+    assert got and {tuple(r)[: len(df.columns)] for r in got} <= set(rows) and {r["copies_"] for r in got} == {n for n in Counter(r[0] for r in got).values()}
+
+
 def test_mixing(spark):
     rows = [(i, "t", None, "a" if i % 4 else None, 1, "x", 1, "n", 1) for i in range(4000)]
     docs = spark.createDataFrame(rows, SCHEMA)
@@ -340,13 +467,59 @@ def test_knn_brute_force(spark, sf):
     assert got == want
 
 
+def brute_top_k(rows, k):
+    """(query_id, rank, vec_id, score) of rows (id, vector); queries: ids divisible by 5, asked once for each vector."""
+    usable = [(i, [int(np.floor(256 * float(x))) for x in v]) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
+    want = Counter()
+    for q, v in {(i, tuple(v)) for i, v in usable if i % 5 == 0}:
+        found = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for i, w in usable if i != q and len(w) == len(v))
+        want.update((q, n + 1, i, -score) for n, (score, i) in enumerate(found[:k]))
+    return want
+
+
+VECTORS = "vec_id long, embedding array<float>, __id int, number string, cell int, block int"
+
+
+@pytest.mark.parametrize("shard_rows", [48, 4096])
+def test_knn_shards_and_edges(spark, monkeypatch, shard_rows):
+    for name, value in (("SHARD_ROWS", shard_rows), ("BLOCK_ROWS", 16), ("LEAF_ROWS", 8), ("CHUNK_BOXES", 3), ("TASK_BLOCKS", 2), ("SAMPLE_ROWS", 300)):
+        monkeypatch.setattr(knn, name, value)
+    rng = np.random.default_rng(12)
+    centre = rng.normal(0, 3, (8, 6))
+    rows = [(i, [float(np.float32(x)) for x in centre[i % 8] + rng.normal(0, 0.3, 6)]) for i in range(700)]
+    rows += [(1000 + i, rows[3][1]) for i in range(200)]  # ties: a cell of equal vectors
+    rows += [(2000 + i, [0.5, -1.5]) for i in range(12)] + [(2500, [0.0, 0.0]), (2505, [1e4])]  # other lengths
+    rows += [(10, rows[10][1]), (10, rows[10][1]), (15, [1.0] * 6), (21, rows[21][1])]  # repeated rows, one id on two vectors
+    rows += [(3000, None), (3005, []), (3010, [1.0, None] * 3), (3015, [float("nan")] * 6), (3020, [float("inf")] * 6), (None, [1.0] * 6)]
+    df = spark.createDataFrame([(i, v, 1, "n", 2, 3) for i, v in rows], VECTORS)
+    got = Counter(tuple(r) for r in knn.top_k(df, F.col("vec_id") % 5 == 0).select("query_id", "rank", "vec_id", "score").collect())
+    assert got == brute_top_k(rows, 5)
+    assert knn.top_k(spark.createDataFrame([], VECTORS), F.col("vec_id") % 5 == 0).count() == 0
+
+
 def test_kd_tree_best_first():
     rng = np.random.default_rng(8)
     v = rng.integers(-50, 50, (700, 6))
     v[100:140] = v[100]
-    ids = np.arange(700)
-    tree = knn.KDTree(ids, v, 16)
-    assert len(tree.rows) > 10
+    tree = knn.KDTree(np.arange(700), v, 16)
+    tree.set_type(np.float64)
+    for q in v[::37]:
+        scores = v @ q
+        best = sorted(zip(-scores, range(700), strict=True))[:5]
+        bounds = tree.bounds(q[None].astype(float))[0]
+        for floor in (-np.inf, -best[4][0]):
+            assert sorted((-s, -n) for s, n in tree.search(q.astype(float), bounds, 5, -1, floor)) == best
+        leaves = [n for n, rows in enumerate(tree.rows) if rows is not None]
+        assert all(scores[tree.rows[n]].max() <= bounds[n] for n in leaves) and sum(len(tree.rows[n]) for n in leaves) == 700
+
+
+def test_split_tree_cells():
+    rng = np.random.default_rng(3)
+    v = rng.integers(-9, 9, (500, 3))
+    nodes = knn.split_tree(v, 16)
+    cells = np.bincount(knn.cell_of(nodes, v))
+    assert len(cells) == 16 and cells.max() < 4 * cells.min()
+    assert len(knn.split_tree(np.ones((50, 3), int), 8)) == 1
 
 
 # --- packing -----------------------------------------------------------------------------------------------------
@@ -385,6 +558,18 @@ def test_packing(spark, texts):
     assert packing.pack(docs_of(spark, []), packing.tokenizer_path()).count() == 0
 
 
+def least_bins(counts, size):
+    """Martello and Toth's bound: large pieces need a bin each, and what others can't put beside them needs more."""
+    best = -(-sum(n * c for n, c in counts.items()) // size)
+    for a in range(size // 2 + 1):
+        alone = sum(c for n, c in counts.items() if n > size - a)
+        large = sum(c for n, c in counts.items() if size / 2 < n <= size - a)
+        room = large * size - sum(n * c for n, c in counts.items() if size / 2 < n <= size - a)
+        small = sum(n * c for n, c in counts.items() if a <= n <= size / 2)
+        best = max(best, alone + large + max(0, -(-(small - room) // size)))
+    return best
+
+
 @pytest.mark.parametrize("seed", range(20))
 def test_plan_is_valid_and_near_the_bound(seed):
     rng = np.random.default_rng(seed)
@@ -402,8 +587,7 @@ def test_plan_is_valid_and_near_the_bound(seed):
             assert o == at
             at += n
         assert at <= 100
-    bound = -(-sum(n * c for n, c in counts.items()) // 100)
-    assert len(load) <= bound * 1.05 + 1
+    assert len(load) <= least_bins(counts, 100) + 2
 
 
 # --- secrets -----------------------------------------------------------------------------------------------------
