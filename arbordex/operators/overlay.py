@@ -126,13 +126,15 @@ def fold(catalog: DataFrame, events: DataFrame) -> Overlay:
 def live_blobs(catalog: DataFrame, tombstones: DataFrame) -> DataFrame:
     """catalog plus `dead`, with dir_blob freed of the names of directories that are tombstoned.
 
-    Only records below such a directory are rebuilt.
+    Only records below such a directory are rebuilt; without one, nothing is looked at record by record.
     """
     gone = if_small(tombstones.select("volume", "record", F.lit(True).alias("dead")))
     rows = catalog.join(gone, ["volume", "record"], "left").withColumn("dead", F.coalesce("dead", F.lit(False)))
     dirs = if_small(catalog.filter("is_dir").join(tombstones, ["volume", "record"], "left_semi").select("volume", F.col("record").alias("__a")))
+    if not dirs.limit(1).count():
+        return rows
     above = catalog.select("volume", "record", F.posexplode(F.slice("anc", 1, F.size("anc") - 1)).alias("__i", "__a"))
-    touched = above.join(dirs, ["volume", "__a"], "left_semi").select("volume", "record").distinct()
+    touched = written(above.join(dirs, ["volume", "__a"], "left_semi").select("volume", "record").distinct(), "touched")
     names = rows.filter("is_dir").select("volume", F.col("record").alias("__a"), "lname", "dead")
     parts = above.join(touched, ["volume", "record"], "left_semi").join(names, ["volume", "__a"], "left").filter("not dead")
     blob = parts.groupBy("volume", "record").agg(F.array_sort(F.collect_list(F.struct("__i", "lname"))).alias("__parts"))
