@@ -75,7 +75,7 @@ def give_back() -> None:
         _TRIM(0)
 
 
-def slices(batch: pa.RecordBatch, column: str, rows: int = 2000, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, rows: int = 2000, size: int = 1_000_000) -> Iterator[pa.RecordBatch]:
     """The batch in parts of at most `rows` rows and about `size` bytes of text (a longer text is a part of its own)."""
     _, offsets = text_bytes(batch[column])
     at = 0
@@ -112,14 +112,14 @@ class _FieldPowers:
     """Powers of the bases and of their inverses in the field of 2^31 - 1 elements, kept for the life of the worker."""
 
     def __init__(self) -> None:
-        self.tables = [np.ones(1, np.uint64)] * 4
+        self.tables = [np.ones(1, np.uint32)] * 4
 
     def get(self, n: int) -> list[np.ndarray]:
         size = len(self.tables[0])
         while size < n:
             for i, base in enumerate((*_BASES, *(pow(b, -1, int(_M31)) for b in _BASES))):
                 step = U64(pow(base, size, int(_M31)))
-                self.tables[i] = np.concatenate((self.tables[i], self.tables[i] * step % _M31))
+                self.tables[i] = np.concatenate((self.tables[i], (self.tables[i] * step % _M31).astype(np.uint32)))
             size *= 2
         return [t[:n] for t in self.tables]
 

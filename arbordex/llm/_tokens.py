@@ -19,7 +19,7 @@ from arbordex.llm import _hashing as H
 # The normalizer and pre-tokenizer that the byte-wise split stands for. Fixed values.
 _NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
 _SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
-_CACHE = 500_000
+_CACHE = 150_000
 
 _SPACE, _LETTER, _DIGIT, _OTHER = 0, 1, 2, 3
 _KIND = np.full(256, _OTHER, dtype=np.uint8)

@@ -26,7 +26,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from arbordex.llm._common import if_small, partitions, table, written
+from arbordex.llm import _hashing as H
+from arbordex.llm._common import if_small, partitions, small_batches, table, written
 from arbordex.llm._tokens import Encoder
 
 CAPACITY = 2048
@@ -142,14 +143,13 @@ def _best_pair(open_: list[int], left: dict[int, int], j: int, room: int) -> int
 _WORKER: dict[int, Encoder] = {}
 
 
-def _pieces(tokenizer_json: str, capacity: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _pieces(tokenizer_json: str, capacity: int, with_ids: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     mark = zlib.crc32(tokenizer_json.encode())
     if mark not in _WORKER:
         _WORKER[mark] = Encoder(tokenizer_json)  # the worker's next task starts with this cache
     encoder = _WORKER[mark]
     for whole in batches:
-        for at in range(0, whole.num_rows, 2000):
-            b = whole.slice(at, 2000)
+        for b in H.slices(whole, "__text"):
             ids, offsets = encoder.encode(b["__text"], END_ID)
             data = memoryview(ids.astype("<u4").tobytes())
             row, piece, start, length, crc, cut = [], [], [], [], [], []
@@ -160,19 +160,19 @@ def _pieces(tokenizer_json: str, capacity: int, batches: Iterator[pa.RecordBatch
                     piece.append(p)
                     start.append(a - i)
                     length.append(z - a)
-                    cut.append(bytes(data[4 * a : 4 * z]))
-                    crc.append(zlib.crc32(cut[-1]))
-            yield pa.RecordBatch.from_arrays(
-                [b["__id"].take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64()), pa.array(cut, pa.binary())],
-                ["__id", "piece", "start", "length", "ids_crc32", "ids"],
-            )
+                    crc.append(zlib.crc32(data[4 * a : 4 * z]))
+                    if with_ids:
+                        cut.append(bytes(data[4 * a : 4 * z]))
+            columns = [b["__id"].take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
+            names = ["__id", "piece", "start", "length", "ids_crc32"]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(cut, pa.binary())], [*names, "ids"]) if with_ids else pa.RecordBatch.from_arrays(columns, names)
 
 
-def tokenised(docs: DataFrame, tokenizer_json: str, *, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per piece: __id, piece, start, length, ids_crc32 and ids (little-endian unsigned 32-bit)."""
+def tokenised(docs: DataFrame, tokenizer_json: str, *, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
+    """One row per piece: __id, piece, start, length, ids_crc32 and, if asked for, ids (little-endian unsigned 32-bit)."""
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(docs[id_col].alias("__id"), docs[text_col].alias("__text"))
-    return rows.mapInArrow(lambda it: _pieces(tokenizer_json, capacity, it), f"__id {kind}, piece int, start long, length long, ids_crc32 long, ids binary")
+    return rows.mapInArrow(lambda it: _pieces(tokenizer_json, capacity, with_ids, it), f"__id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
 
 
 def pack(docs: DataFrame, tokenizer_path: str, *, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
@@ -181,10 +181,10 @@ def pack(docs: DataFrame, tokenizer_path: str, *, capacity: int = CAPACITY, id_c
     Null and empty texts are one piece of the end id. Null ids and repeated rows are documents of their own. An empty
     table gives no rows. Other columns are not read.
     """
-    spark = docs.sparkSession
+    spark = small_batches(docs.sparkSession)
     with open(tokenizer_path, encoding="utf-8") as f:
         tokenizer_json = f.read()
-    pieces = written(tokenised(docs, tokenizer_json, capacity=capacity, id_col=id_col, text_col=text_col), "pieces")
+    pieces = written(tokenised(docs, tokenizer_json, capacity=capacity, id_col=id_col, text_col=text_col, with_ids=with_ids), "pieces")
     salts = max(16, partitions(spark))
     content = ["__id", "piece", "start", "length", "ids_crc32"]
     rows = pieces.select(*content, *(["ids"] if with_ids else []), F.pmod(F.xxhash64("__id", "piece", "ids_crc32"), F.lit(salts)).cast("int").alias("__salt"))
