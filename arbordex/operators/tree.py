@@ -66,7 +66,8 @@ def chains(rows: DataFrame) -> DataFrame:
     done, open_ = first.filter("up is null"), first.filter("up is not null")
     while open_.limit(1).count():
         far = done.unionByName(open_).select("volume", F.col("record").alias("up"), F.col("up").alias("__up"), F.col("chain").alias("__chain"))
-        new = written(open_.join(far, ["volume", "up"]).select("volume", "record", F.col("__up").alias("up"), F.concat("__chain", "chain").alias("chain")), "chains")
+        # Few rows are open after some rounds: they go to the settled ones, which then need not move.
+        new = written(far.join(if_small(open_), ["volume", "up"]).select("volume", "record", F.col("__up").alias("up"), F.concat("__chain", "chain").alias("chain")), "chains")
         done, open_ = done.unionByName(new.filter("up is null")), new.filter("up is not null")
     return done.select("volume", "record", "chain")
 
