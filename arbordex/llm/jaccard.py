@@ -17,8 +17,10 @@ Verification: parity sketches (the XOR of one bit per shingle, folded to one len
 difference from below by their Hamming distance, and go to meet, not texts. First each holder of a key meets the key's
 least holder only (no pairs); what the sketches leave is compared word by word, and components of verified links are
 found. A group of near copies is one component by then and done. Only in keys whose holders still lie in several
-components do sketches meet pair by pair, in blocks, and only survivors leave a task; holders that are linked with the
-least holder don't meet those that are too far from it. Numbers of links are counted inside verified components, block
+components do sketches meet pair by pair, in blocks; holders that are linked with the least holder don't meet those that
+are too far from it. Survivors are compared in rounds: first each node's FRESH[0] nearest, then more of those that still lie
+in other components, until none is left; so a group gives about as many pairs as it has nodes, not as it has links, and
+those that sketches take for links. Numbers of links are counted inside verified components, block
 by block, by products of incidence matrices. The words themselves decide each link, not hashes.
 """
 
@@ -29,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from arbordex.llm import _hashing as H
@@ -37,11 +39,15 @@ from arbordex.llm._common import if_small, partitions, release, small_batches, t
 from arbordex.llm._graph import components
 
 U64 = np.uint64
-#: Nodes of a component (or of a key's holders) in one block: at least, at most; and blocks of those in between.
+#: Nodes of a component in one block: at least (of a key's holders four times that), at most; and blocks of those in between.
 LEAST_BLOCK, MOST_BLOCK, BLOCKS = 64, 1024, 16
 #: Keys that a task holds before they are merged and handed on; a key with more holders than HOT there is handed on once.
 FLUSH_KEYS = 1 << 19
 HOT = 64
+#: How many of a node's nearest partners are compared in each round; one more round takes all that are left.
+FRESH = (1, 8, 64)
+#: Pairs that a task holds before it keeps each node's nearest.
+HELD_PAIRS = 1 << 18
 _SEEDS = 6
 #: Status of a key's holder against the key's least holder.
 LINKED, NEAR, FAR, FARTHER = range(4)
@@ -315,13 +321,19 @@ def _screened(num: int, den: int, batches: Iterator[pa.RecordBatch]) -> Iterator
         yield pa.RecordBatch.from_arrays([batch["lead"], batch["class"], batch["a"], batch["b"], pa.array(status.astype(np.int32)), pa.array(may)], ["lead", "class", "a", "b", "status", "may"])
 
 
-def meet(node: np.ndarray, label: np.ndarray, status: np.ndarray, hot: bool, size: np.ndarray, sketch: list[bytes], side: np.ndarray, cross: bool, bands: Bands) -> list[tuple[int, int]]:
-    """Pairs of a key's holders (of two blocks of them, if cross) in different components that their sketches can't rule out."""
-    out: list[tuple[int, int]] = []
+def meet(node: np.ndarray, label: np.ndarray, status: np.ndarray, hot: bool, size: np.ndarray, sketch: list[bytes], side: np.ndarray, cross: bool, bands: Bands, most: int) -> tuple[np.ndarray, bool]:
+    """Pairs of a key's holders (of two blocks of them, if cross) in different components that their sketches can't rule out.
+
+    Rows of (node, partner, distance of the sketches): each holder's `most` nearest partners before it in order of size;
+    and whether that left any out.
+    """
+    out: list[np.ndarray] = []
+    less = False
     linked, far = status == LINKED, status >= (FARTHER if hot else FAR)
     order = np.lexsort((node, size))
     rows = {w: np.stack([fold(np.frombuffer(s, np.uint8), w) if len(s) >= w else np.zeros(w, np.uint8) for s in sketch]) for w in {len(s) for s in sketch}}
     length = np.array([len(s) for s in sketch])
+    spread = _spread(node)
     for p, i in enumerate(order.tolist()):
         past = order[:p]
         past = past[np.searchsorted(size[past] * bands.den, size[i] * bands.num) :]  # sizes rise
@@ -330,23 +342,73 @@ def meet(node: np.ndarray, label: np.ndarray, status: np.ndarray, hot: bool, siz
         if cross:
             fit &= side[past] != side[i]
         past = past[fit]
+        gap = np.empty(len(past), np.int64)
         for w in np.unique(length[past]).tolist():  # of smaller sets, so not longer
-            some = past[length[past] == w]
-            mine = fold(np.frombuffer(sketch[i], np.uint8), w)
-            near = some[_hamming(rows[w][some], mine) <= bands.most(size[some] + size[i])]
-            out += [(min(int(node[i]), int(node[j])), max(int(node[i]), int(node[j]))) for j in near]
-    return out
+            some = length[past] == w
+            gap[some] = _hamming(rows[w][past[some]], fold(np.frombuffer(sketch[i], np.uint8), w))
+        near = gap <= bands.most(size[past] + size[i])
+        if near.any():
+            past, gap = past[near], gap[near]
+            if len(past) > most:
+                few = np.lexsort((node[past], spread[past], gap))[:most]
+                past, gap, less = past[few], gap[few], True
+            out.append(np.stack((np.full(len(past), node[i]), node[past], gap), axis=1))
+    return np.concatenate(out) if out else np.zeros((0, 3), np.int64), less
+
+
+def nearest(pairs: np.ndarray, most: int) -> tuple[np.ndarray, bool]:
+    """Of rows (node, partner, distance), each once, the `most` nearest of each node; and whether that left any out."""
+    order = np.lexsort((pairs[:, 1], _spread(pairs[:, 1]), pairs[:, 2], pairs[:, 0]))
+    pairs = pairs[order][_runs(*pairs[order].T)[:-1]]
+    starts = _runs(pairs[:, 0])
+    rank = np.arange(len(pairs)) - np.repeat(starts[:-1], np.diff(starts))
+    return pairs[rank < most], bool((rank >= most).any())
+
+
+def _spread(node: np.ndarray) -> np.ndarray:
+    """An order among equally near partners that is the same everywhere, so that many nodes choose the same one."""
+    return (H.mix(node.view(U64)) >> U64(1)).view(np.int64)
+
+
+_MET = "key long, bi int, bj int, node long, partner long, gap long, spread long"
 
 
-def _met_again(num: int, den: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Holders sorted by (key, bi, bj) to pairs (a, b) that may be linked."""
+def _met_again(num: int, den: int, most: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Holders sorted by (key, bi, bj) to (node, partner, gap, spread) that may be linked: the `most` nearest of each node.
+
+    Groups with pairs come too, without a node; a row without either says that there are more pairs.
+    """
     bands = Bands(num, den)
+    held: list[np.ndarray] = []
+    groups: list[tuple[int, int, int]] = []
+    less = False
+
+    def out() -> pa.RecordBatch:
+        pairs = np.concatenate(held)
+        marks = [*groups, *[(None, None, None)] * less]
+        at = [pa.array([*[None] * len(pairs), *(m[k] for m in marks)], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.int32()))]
+        own = [pa.array([*c.tolist(), *[None] * len(marks)], pa.int64()) for c in (*pairs.T, _spread(np.ascontiguousarray(pairs[:, 1])))]
+        return pa.RecordBatch.from_arrays([*at, *own], ["key", "bi", "bj", "node", "partner", "gap", "spread"])
+
     for group in _groups(batches, ("key", "bi", "bj")):
         column = {c: np.array([r[c] for r in group]) for c in ("node", "label", "status", "n", "block")}
-        pairs = meet(column["node"], column["label"], column["status"], group[0]["split"], column["n"], [r["sketch"] for r in group], column["block"], group[0]["bi"] != group[0]["bj"], bands)
-        if pairs:
-            a, b = zip(*sorted(set(pairs)), strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        if (column["label"] == column["label"][0]).all():
+            continue
+        pairs, cut = meet(column["node"], column["label"], column["status"], group[0]["split"], column["n"], [r["sketch"] for r in group], column["block"], group[0]["bi"] != group[0]["bj"], bands, most)
+        if len(pairs):
+            held.append(pairs)
+            groups.append((group[0]["key"], group[0]["bi"], group[0]["bj"]))
+            less |= cut
+        if sum(map(len, held)) > HELD_PAIRS:
+            found, cut = nearest(np.concatenate(held), most)
+            held, less = [found], less | cut
+            if len(found) > HELD_PAIRS // 2:
+                yield out()
+                held, groups = [], []
+    if held:
+        found, cut = nearest(np.concatenate(held), most)
+        held, less = [found], less | cut
+        yield out()
 
 
 def _groups(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterator[list[dict]]:
@@ -439,10 +501,23 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b["node"], pa.array([packer.compress(t.encode()) for t in b["__text"].to_pylist()], pa.binary())], ["node", "packed"])
 
 
-def _in_blocks(df: DataFrame, group: str, by: str) -> DataFrame:
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels (node, label) once more links (a, b) hold, with their nodes. Labels are linked, not nodes, and each two once."""
+    a, b = (labels.select(F.col("node").alias(x), F.col("label").alias(f"l{x}")) for x in "ab")
+    ends = links.join(a, "a", "left").join(b, "b", "left").select("a", "b", F.coalesce("la", "a").alias("la"), F.coalesce("lb", "b").alias("lb"))
+    ends = written(ends, "ends")
+    top = components(ends.filter("la <> lb").select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).distinct())
+    nodes = labels.select("node", "label").union(ends.select("a", "la")).union(ends.select("b", "lb")).distinct()
+    found = nodes.join(top.select(F.col("node").alias("label"), F.col("label").alias("top")), "label", "left").select("node", F.coalesce("top", "label").alias("label"))
+    found = written(found, "labels")
+    release(ends, top)
+    return found
+
+
+def _in_blocks(df: DataFrame, group: str, by: str, least: int) -> DataFrame:
     """df with block, bi and bj: each group is cut into blocks by `by`, and a row goes to all pairs of its block."""
     sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("__n"))
-    blocks = F.ceil(F.col("__n") / F.least(F.greatest(F.ceil(F.col("__n") / BLOCKS), F.lit(LEAST_BLOCK)), F.lit(MOST_BLOCK))).cast("int")
+    blocks = F.ceil(F.col("__n") / F.least(F.greatest(F.ceil(F.col("__n") / BLOCKS), F.lit(least)), F.lit(MOST_BLOCK))).cast("int")
     cut = df.join(sizes.select(group, blocks.alias("__blocks")), group).withColumn("block", F.pmod(F.xxhash64(by), F.col("__blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1)).alias("__other")
     return cut.select("*", other).withColumns({"bi": F.least("block", "__other"), "bj": F.greatest("block", "__other")}).drop("__blocks", "__other")
@@ -522,16 +597,36 @@ def _grouped(docs: DataFrame, width: int, num: int, den: int, id_col: str, text_
     again = holders.drop("hot").join(mixed, "key").filter((F.col("status") != LINKED) | F.col("with_linked"))
     again = again.select("key", "node", F.when(F.col("loose"), NEAR).otherwise(F.col("status")).alias("status"), "label", "split")
     again = written(again.groupBy("key", "node").agg(F.max("status").alias("status"), F.min("label").alias("label"), F.max("split").alias("split")), "mixed")
-    cut = _in_blocks(again, "key", "node").join(members.select("node", "n", "sketch"), "node")
-    cut = cut.select("key", "bi", "bj", "block", "node", "label", "status", "n", "sketch", "split").repartition(n_parts, "key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
-    more = written(cut.mapInArrow(lambda it: _met_again(num, den, it), "a long, b long").distinct(), "pairs")
-    if more.limit(1).count():
-        across = confirmed(more)
+    cut = _in_blocks(again, "key", "node", 4 * LEAST_BLOCK)
+    met, compared, total = None, [], 0
+    for fresh in (*FRESH, 1 << 40):
+        todo = cut
+        if met is not None:
+            todo = cut.join(met.filter("key is not null").select("key", "bi", "bj"), ["key", "bi", "bj"], "left_semi")
+        todo = todo.drop("label").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).join(members.select("node", "n", "sketch"), "node")
+        todo = todo.select("key", "bi", "bj", "block", "node", "label", "status", "n", "sketch", "split").repartition(n_parts, "key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
+        total += fresh  # of these, at most total - fresh are compared already
+        last, met = met, written(todo.mapInArrow(lambda it, most=total: _met_again(num, den, most, it), _MET), "met")
+        release(*[last] if last is not None else [])
+        pairs = met.filter("node is not null").select("node", "partner", "gap", "spread").distinct()
+        for before in compared:
+            pairs = pairs.join(before, ["node", "partner"], "left_anti")
+        rank = F.row_number().over(Window.partitionBy("node").orderBy("gap", "spread", "partner"))
+        ranked = written(pairs.select("node", "partner", rank.alias("rank")), "ranked")
+        more = written(ranked.filter(F.col("rank") <= fresh).select("node", "partner"), "pairs")
+        left = ranked.filter(F.col("rank") > fresh).limit(1).count() + met.filter("node is null and key is null").limit(1).count()
+        release(ranked)
+        compared.append(more)
+        if not more.limit(1).count():
+            break
+        across = confirmed(more.select(F.least("node", "partner").alias("a"), F.greatest("node", "partner").alias("b")))
         if across.limit(1).count():
-            release(labels)
-            labels = components(links.union(across))
+            was, labels = labels, merged(labels, across)
+            release(was)
         release(across)
-    release(held, stars, links, holders, again, more)
+        if not left:
+            break
+    release(met, held, stars, links, holders, again, *compared)
     # Back to the rows.
     linked = labels.join(classes.select("node", "least", "weight"), "node")
     ids = linked.groupBy("label").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("nodes"))
@@ -543,7 +638,7 @@ def _grouped(docs: DataFrame, width: int, num: int, den: int, id_col: str, text_
         twos = linked.filter("nodes = 2").join(pairs, "label").select("node", (F.col("__both") - F.col("weight")).alias("n_links"))
         larger = linked.filter("nodes > 2").select("label", "node", "weight")
         texts = packed(larger.select("node"))
-        cut = _in_blocks(larger, "label", "node").join(texts, "node").repartition(n_parts, "label", "bi", "bj").sortWithinPartitions("label", "bi", "bj")
+        cut = _in_blocks(larger, "label", "node", LEAST_BLOCK).join(texts, "node").repartition(n_parts, "label", "bi", "bj").sortWithinPartitions("label", "bi", "bj")
         n_links = cut.select("label", "bi", "bj", "block", "node", "weight", "packed").mapInArrow(lambda it: _counted(width, num, den, it), "node long, n_links long")
         n_links = written(n_links.groupBy("node").agg(F.sum("n_links").alias("n_links")).unionByName(twos), "n-links")
         release(texts)

@@ -160,6 +160,38 @@ def test_jaccard_blocks_and_hot_groups(spark, monkeypatch):
     assert got == brute_components(rows, 3, 90, 100)
 
 
+def test_jaccard_compares_few_pairs_of_a_group(spark, monkeypatch):
+    """Near copies whose keys' least holders are linked with few of them: not one comparison a link."""
+    compared = []
+
+    def spy(df, name, written=jaccard.written):
+        found = written(df, name)
+        if name == "pairs":
+            compared.append(found.count())
+        return found
+
+    monkeypatch.setattr(jaccard, "written", spy)
+    rng = np.random.default_rng(5)
+    base = " ".join(f"v{x}" for x in rng.integers(0, 500, 150))
+    rows = [(i, mutated(rng, base, 1 + i % 4)) for i in range(300)]
+    got = Counter(tuple(r)[:4] for r in jaccard.jaccard_groups(docs_of(spark, rows), width=3, num=90, den=100).select("doc_id", "n_shingles", "component_id", "n_links").collect())
+    assert got == brute_components(rows, 3, 90, 100)
+    assert sum(compared) <= 2 * len(rows)
+
+
+@pytest.mark.parametrize("held_pairs", [4, 1 << 18])
+def test_jaccard_nearest_partners_of_each_node(monkeypatch, held_pairs):
+    monkeypatch.setattr(jaccard, "HELD_PAIRS", held_pairs)
+    sets = [np.arange(100, 200 + i, dtype=np.uint64) for i in range(6)]
+    data, cuts = jaccard.sketches(np.concatenate(sets), np.cumsum([0, *map(len, sets)]), jaccard.Bands(90, 100))
+    group = [{"key": k, "bi": 0, "bj": 0, "block": 0, "node": i, "label": i, "status": jaccard.NEAR, "n": 100 + i, "sketch": data[cuts[i] : cuts[i + 1]].tobytes(), "split": False} for k in range(3) for i in range(6)]
+    for most in (1, 2, 5):
+        found = [r for b in jaccard._met_again(90, 100, most, iter([pa.RecordBatch.from_pylist(group)])) for r in b.to_pylist()]
+        assert {(r["node"], r["partner"]) for r in found if r["node"] is not None} == {(i, i - k) for i in range(6) for k in range(1, most + 1) if i >= k}
+        assert {r["key"] for r in found if r["node"] is None} - {None} == {0, 1, 2}
+        assert any(r["node"] is None and r["key"] is None for r in found) == (most < 5)
+
+
 def test_jaccard_keep_one(spark):
     kept = jaccard.keep_one(docs_of(spark, EDGE))
     assert kept.columns == docs_of(spark, EDGE).columns
